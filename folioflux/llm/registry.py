@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from folioflux.llm import exact_dedup
+from folioflux.llm import exact_dedup, mixing
 
 QUERIES: dict = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op6_mixing": mixing.op6_mixing,
 }
 
 ORACLES: dict = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
+    "op6_mixing": mixing.OP6_SQL,
 }
