@@ -38,9 +38,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     full = F.sha2(F.col("_text"), 256)
     hashed = by_prefix.select("_id", (full if hash_all else F.when(F.col("_same_prefix"), full)).alias("text_sha256"), "_same_prefix")
     groups = hashed.where("_same_prefix").groupBy(F.col("text_sha256").alias("_sha")).agg(F.max("_id").alias("_keep"), F.count("*").alias("_n")).where("_n > 1")
-    # rows settled before have no hash to meet a group by: their own id spreads them over the partitions
-    keyed = hashed.withColumn("_key", F.coalesce("text_sha256", F.col("_id").cast("string"), F.lit("")))
-    return keyed.join(groups, F.col("_key") == F.col("_sha"), "left").select(
+    # Rows settled before have no hash to meet a group by: their own id spreads them over the partitions. The key is a
+    # new expression on either side, so that both are dealt out for the join and AQE can split a hot group's partition.
+    keyed = hashed.withColumn("_key", F.coalesce(F.unhex("text_sha256"), F.col("_id").cast("string").cast("binary"), F.lit("").cast("binary")))
+    return keyed.join(groups.withColumn("_group", F.unhex("_sha")), F.col("_key") == F.col("_group"), "left").select(
         F.col("_id").alias(id_col),
         F.coalesce("_keep", "_id").alias("keep_id"),
         F.coalesce("_n", F.lit(1)).cast("long").alias("group_size"),
