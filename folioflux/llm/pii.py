@@ -131,11 +131,14 @@ def permute_name(key: str, name: Column) -> Column:
     """The letters and digits of a name permuted, each within its class: four Feistel rounds over the halves of the name."""
     half = F.floor(F.length(name) / 2).cast("int")
     pair = F.array(F.struct(F.substring(name, F.lit(1), half).alias("l"), F.substring(name, half + 1, F.length(name)).alias("r")))
-    for turn in range(4):
+
+    def moved(turn: int):
         if turn % 2:
-            pair = F.transform(pair, lambda x, t=turn: F.struct(x["l"].alias("l"), _shifted(key, "name", x["r"], x["l"], t).alias("r")))
-        else:
-            pair = F.transform(pair, lambda x, t=turn: F.struct(_shifted(key, "name", x["l"], x["r"], t).alias("l"), x["r"].alias("r")))
+            return lambda x: F.struct(x["l"].alias("l"), _shifted(key, "name", x["r"], x["l"], turn).alias("r"))
+        return lambda x: F.struct(_shifted(key, "name", x["l"], x["r"], turn).alias("l"), x["r"].alias("r"))
+
+    for turn in range(4):
+        pair = F.transform(pair, moved(turn))
     return F.transform(pair, lambda x: F.concat(x["l"], x["r"]))[0]
 
 
@@ -166,7 +169,7 @@ def pseudonym(key: str, kind: Column, value: Column) -> Column:
     iban = F.transform(F.array(new_account), lambda a: F.concat(F.substring(compact, 1, 2), F.lpad((F.lit(98) - mod97(F.concat(a, F.substring(compact, 1, 2), F.lit("00")))).cast("string"), 2, "0"), a))[0]
 
     name, host = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
-    labels = F.substring_index(host, ".", F.size(F.split(host, "\\.")) - 1)
+    labels = F.regexp_extract(host, r"^(.*)\.[^.]*$", 1)
     email = F.concat(permute_name(key, name), F.lit("@"), permute_name(key, labels), F.lit("."), F.substring_index(host, ".", -1))
     return (
         F.when(kind == "email", email)
@@ -207,5 +210,5 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_<kind> for each kind, text with pseudonyms, for every row of documents."""
     done = pseudonymise(load(spark, sf_dir, "documents"), key="op2")
-    counts = [F.size(F.filter("found", lambda x, k=kind: x["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in PATTERNS]
+    counts = [F.expr(f"size(filter(found, x -> x.kind = '{kind}'))").cast("long").alias(f"n_{kind}") for kind in PATTERNS]
     return done.select("doc_id", *counts, "text")
