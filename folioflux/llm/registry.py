@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from folioflux.llm import exact_dedup, mixing, pii, secret_scan
+from folioflux.llm import decontamination, exact_dedup, mixing, pii, secret_scan
 
 QUERIES: dict = {
     "op2_pii": pii.op2_pii,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_decontamination": decontamination.op4_decontamination,
     "op5_secret_scan": secret_scan.op5_secret_scan,
     "op6_mixing": mixing.op6_mixing,
 }
