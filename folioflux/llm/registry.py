@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from folioflux.llm import decontamination, exact_dedup, mixing, pii, secret_scan
+from folioflux.llm import decontamination, exact_dedup, mixing, pii, secret_scan, toxicity
 
 QUERIES: dict = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_pii": pii.op2_pii,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_decontamination": decontamination.op4_decontamination,
