@@ -51,3 +51,30 @@ def flagged(df: DataFrame, key: str, found: DataFrame, bits: int, flag: str) ->
 def text_of(name: str = "text") -> Column:
     """The text, or the empty text for null."""
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def ascii_lower(text: Column) -> Column:
+    """The text with A-Z, and nothing else, in lower case."""
+    plain = F.length(text) == F.octet_length(text)
+    return F.when(plain, F.lower(text)).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
+    """The smallest node of each node's connected component: _node, _comp, for every node of the edges (_a, _b).
+
+    Each round takes for a node the smallest label among its own and its neighbours', then that label's own label, so
+    that a path of length n takes about log n rounds; it ends when no label changes. Labels are staged after each round.
+    """
+    both = staged(edges.union(edges.select("_b", "_a")).distinct(), f"{name}-edges")
+    labels = staged(both.groupBy(F.col("_a").alias("_node")).agg(F.least("_node", F.min("_b")).alias("_comp")), f"{name}-0")
+    turn = 0
+    while True:
+        turn += 1
+        near = both.join(labels, F.col("_b") == F.col("_node")).groupBy(F.col("_a").alias("_n")).agg(F.min("_comp").alias("_near"))
+        lower = labels.join(near, F.col("_node") == F.col("_n"), "left").select("_node", F.least("_comp", F.coalesce("_near", "_comp")).alias("_new"), F.col("_comp").alias("_old"))
+        top = labels.select(F.col("_node").alias("_m"), F.col("_comp").alias("_top"))
+        jumped = lower.join(top, F.col("_new") == F.col("_m"), "left")
+        new = staged(jumped.select("_node", F.least("_new", F.coalesce("_top", "_new")).alias("_comp"), (F.least("_new", F.coalesce("_top", "_new")) != F.col("_old")).alias("_moved")), f"{name}-{turn}")
+        labels = new.select("_node", "_comp")
+        if not new.where("_moved").take(1):
+            return labels
