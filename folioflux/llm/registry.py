@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from folioflux.llm import decontamination, exact_dedup, mixing, ngram_join, pii, secret_scan, toxicity
+from folioflux.llm import decontamination, exact_dedup, language_id, mixing, ngram_join, pii, secret_scan, toxicity
 
 QUERIES: dict = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_pii": pii.op2_pii,
+    "op7_language_id": language_id.op7_language_id,
     "op10_ngram_join": ngram_join.op10_ngram_join,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_decontamination": decontamination.op4_decontamination,
