@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from folioflux.llm import decontamination, exact_dedup, language_id, mixing, ngram_join, pii, secret_scan, toxicity, url_filter
+from folioflux.llm import decontamination, exact_dedup, language_id, license_scan, mixing, ngram_join, pii, secret_scan, toxicity, url_filter
 
 QUERIES: dict = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_pii": pii.op2_pii,
     "op7_language_id": language_id.op7_language_id,
     "op8_url_filter": url_filter.op8_url_filter,
+    "op9_license_scan": license_scan.op9_license_scan,
     "op10_ngram_join": ngram_join.op10_ngram_join,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_decontamination": decontamination.op4_decontamination,
