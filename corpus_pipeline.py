@@ -1,12 +1,61 @@
-"""The corpus pipeline: written when its operators are."""
+"""From raw documents to a training mix: toxicity, exact copies, near copies, benchmark leaks, then the mix of sources.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; what it returns is written as Parquet
+and read again as the next one's docs. All but the last return the columns of documents, null text and null ids included
+(a null id can't be named as a copy, so its row stays). doc_id identifies a document: rows that repeat an id go together.
+An empty table passes through every stage.
+"""
 
 from __future__ import annotations
 
-from folioflux.llm import registry  # noqa: F401
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioflux.llm.common import staged, without
+from folioflux.llm.decontamination import contamination
+from folioflux.llm.exact_dedup import exact_duplicates
+from folioflux.llm.mixing import mix_sources
+from folioflux.llm.ngram_join import near_duplicates
+from folioflux.llm.toxicity import fit, score_texts, threshold_of
+from folioflux.sources.tables import load
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below their language's threshold, by a model of the labelled ones."""
+    model = fit(docs, load(spark, sf_dir, "labels"))
+    scored = score_texts(docs, model)
+    return scored.where(F.col("score") < threshold_of(model, F.col("_row.lang"))).select("_row.*")
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal texts the one with the largest doc_id."""
+    return without(docs, exact_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_id")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by 5-word shingles at a Jaccard similarity of 0.8 the one with the smallest doc_id."""
+    return without(docs, near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_id")))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item's window of ten words."""
+    return contamination(docs, load(spark, sf_dir, "benchmark")).where("n_hit = 0").select("_row.*")
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken: how many words of each document the mix takes."""
+    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing)]
 
-STAGES: list = []
+#: A trained classifier has no SQL; tests/llm/test_pipeline.py holds the stages against brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what each keeps is a table in the shared folder."""
+    docs = load(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -78,3 +78,13 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         labels = new.select("_node", "_comp")
         if not new.where("_moved").take(1):
             return labels
+
+
+def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", bits: int = 22) -> DataFrame:
+    """`docs` without the rows whose id is in `dropped` (_id). A bitmap of the dropped ids, of bounded size, is broadcast;
+    only rows whose bit is set take part in the join, the others never leave their partition. Null ids stay."""
+    names = docs.columns
+    gone = staged(dropped.select("_id").where("_id is not null").distinct(), "dropped")
+    flag = flagged(docs.withColumn("_k", F.xxhash64(F.col(id_col))), "_k", bitmap(gone.select(F.xxhash64("_id").alias("_k")), "_k", bits), bits, "_maybe")
+    maybe = flag.where("_maybe").join(gone, F.col(id_col) == F.col("_id"), "left_anti")
+    return flag.where("not _maybe").select(*names).union(maybe.select(*names))
