@@ -26,19 +26,24 @@ FRAGMENTS = 4
 STAR_ROUNDS = 2
 
 
-def shingle_set(text: Column, words: int = WORDS) -> tuple[Column, Column]:
-    """The words of a text, and from `_words` the sorted distinct 64-bit hashes of its shingles."""
+def shingle_set(text: Column, words: int = WORDS) -> Column:
+    """The sorted distinct 64-bit hashes of a text's shingles.
+
+    The words are bound by a lambda of their own: where Catalyst moves the expression, it moves as a whole, and the text
+    is never split again for each shingle.
+    """
     split = F.array_remove(F.split(ascii_lower(text), BLANKS), "")
-    w = F.col("_words")
-    grams = F.transform(F.sequence(F.lit(0), F.size(w) - words), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(words)]))
-    hashes = F.when(F.size(w) >= words, grams).when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.expr("cast(array() as array<bigint>)"))
-    return split, F.sort_array(F.array_distinct(hashes))
+
+    def hashes(w: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(0), F.size(w) - words), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(words)]))
+        return F.when(F.size(w) >= words, grams).when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.expr("cast(array() as array<bigint>)"))
+
+    return F.sort_array(F.array_distinct(F.flatten(F.transform(F.array(split), hashes))))
 
 
 def with_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """_id and _set of each row."""
-    split, hashes = shingle_set(F.col("_text"), words)
-    return docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).select("_id", split.alias("_words")).select("_id", hashes.alias("_set"))
+    return docs.select(F.col(id_col).alias("_id"), shingle_set(text_of(text_col), words).alias("_set"))
 
 
 def set_name(hashes: Column) -> Column:
@@ -47,9 +52,10 @@ def set_name(hashes: Column) -> Column:
 
 
 def frequencies(sets: DataFrame, leading: float) -> DataFrame:
-    """_x, _n of the n-grams in the leading fragments that more than one row has."""
+    """_x, _n of the n-grams in the leading fragments that more than one row has. (explode_outer: for explode, Catalyst
+    would build each set twice, once for a filter on its size.)"""
     cut = int(-(2**63) + leading * 2**64)
-    grams = sets.select(F.explode("_set").alias("_x")).where(F.col("_x") < F.lit(cut))
+    grams = sets.select(F.explode_outer("_set").alias("_x")).where(F.col("_x") < F.lit(cut))
     return grams.groupBy("_x").agg(F.count("*").alias("_n")).where("_n > 1")
 
 
@@ -84,7 +90,7 @@ def placed(docs: DataFrame, id_col: str, text_col: str, words: int, similar: int
     counts = staged(frequencies(sets, leading), "ngram-counts")
     parts = leading_part(sets.join(F.broadcast(frequent_bits(counts, FREQUENT, MOST_FREQUENT, FREQUENT_BITS))), FREQUENT_BITS, similar)
     cut = int(-(2**63) + leading * 2**64)
-    rows = parts.select("_id", set_name(F.col("_set")).alias("_name"), "_size", F.explode(F.concat(F.array(F.lit(None).cast("long")), F.coalesce("_part", F.expr("cast(array() as array<bigint>)")))).alias("_x"))
+    rows = parts.select("_id", set_name(F.col("_set")).alias("_name"), "_size", F.explode_outer(F.concat(F.array(F.lit(None).cast("long")), F.coalesce("_part", F.expr("cast(array() as array<bigint>)")))).alias("_x"))
     known = flagged(rows, "_x", bitmap(counts, "_x", REPEATED_BITS), REPEATED_BITS, "_repeated")
     return staged(known.where(F.col("_x").isNull() | (F.col("_x") >= F.lit(cut)) | F.col("_repeated")).drop("_repeated"), "ngram-parts")
 
@@ -103,7 +109,7 @@ def segments(docs: DataFrame, rows: DataFrame, found: DataFrame, id_col: str, te
     flag = flagged(docs.withColumn("_k", F.xxhash64(F.col(id_col))), "_k", bitmap(first.withColumn("_k", F.xxhash64("_id")), "_k", CANDIDATE_BITS), CANDIDATE_BITS, "_may")
     shift = 64 - (FRAGMENTS.bit_length() - 1)
     sets = with_sets(flag.where("_may"), id_col, text_col, words).select(set_name(F.col("_set")).alias("_name"), "_set")
-    cut = sets.select("_name", F.explode(F.array(*[F.struct(F.lit(f).alias("_fragment"), F.filter("_set", _in_fragment(f, shift)).alias("_segment")) for f in range(FRAGMENTS)])).alias("s"))
+    cut = sets.select("_name", F.explode_outer(F.array(*[F.struct(F.lit(f).alias("_fragment"), F.filter("_set", _in_fragment(f, shift)).alias("_segment")) for f in range(FRAGMENTS)])).alias("s"))
     return staged(cut.groupBy("_name", F.col("s._fragment").alias("_fragment")).agg(F.first("s._segment").alias("_segment")).where("size(_segment) > 0"), "ngram-segments")
 
 
