@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from folioflux.plans.catalog import ORACLES, QUERIES
+from folioflux.plans import analytics, records, sequences, texts  # noqa: F401  they register themselves
+
+__all__ = ["ORACLES", "QUERIES"]
