@@ -17,7 +17,7 @@ WORDS, SIMILAR = 5, 80
 #: The leading fragments of the hash order, as a share of it, over which n-grams' frequencies are counted.
 LEADING = 0.35
 #: n-grams in so many sets or more go last in the order; the most frequent ones of them, up to a bound.
-FREQUENT, MOST_FREQUENT = 64, 1 << 16
+FREQUENT, MOST_FREQUENT = 16, 1 << 16
 #: Bits of the bitmaps of frequent n-grams, of repeated n-grams and of candidates: their size is bounded by these.
 FREQUENT_BITS, REPEATED_BITS, CANDIDATE_BITS = 22, 26, 24
 #: Fragments in which overlaps are counted, a power of two.
@@ -102,11 +102,12 @@ def buckets(rows: DataFrame) -> DataFrame:
     return staged(each.join(shared, F.col("_x") == F.col("_y"), "left_semi"), "ngram-buckets")
 
 
-def segments(docs: DataFrame, rows: DataFrame, found: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """Staged: _name, _fragment, _segment of the sets in buckets. One row stands for equal sets; rows that can't be it
-    are left out by a bitmap of ids before their set is built again."""
-    first = rows.where("_x is null").groupBy("_name").agg(F.min("_id").alias("_id")).join(found.select("_name").distinct(), "_name", "left_semi")
-    flag = flagged(docs.withColumn("_k", F.xxhash64(F.col(id_col))), "_k", bitmap(first.withColumn("_k", F.xxhash64("_id")), "_k", CANDIDATE_BITS), CANDIDATE_BITS, "_may")
+def segments(docs: DataFrame, rows: DataFrame, pairs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """_name, _fragment, _segment of the sets in `pairs`. One row stands for equal sets; rows that can't be it are left
+    out by a bitmap of ids before their set is built again."""
+    names = pairs.select(F.col("_a").alias("_name")).union(pairs.select("_b")).distinct()
+    first = rows.where("_x is null").groupBy("_name").agg(F.min("_id").alias("_id")).join(names, "_name", "left_semi")
+    flag = flagged(docs.select(id_col, text_col).withColumn("_k", F.xxhash64(F.col(id_col))), "_k", bitmap(first.withColumn("_k", F.xxhash64("_id")), "_k", CANDIDATE_BITS), CANDIDATE_BITS, "_may")
     shift = 64 - (FRAGMENTS.bit_length() - 1)
     sets = with_sets(flag.where("_may"), id_col, text_col, words).select(set_name(F.col("_set")).alias("_name"), "_set")
     cut = sets.select("_name", F.explode_outer(F.array(*[F.struct(F.lit(f).alias("_fragment"), F.filter("_set", _in_fragment(f, shift)).alias("_segment")) for f in range(FRAGMENTS)])).alias("s"))
@@ -127,6 +128,18 @@ def similar_pairs(pairs: DataFrame, cut: DataFrame, similar: int) -> DataFrame:
     return total.where(f"100 * _o >= {similar} * (_na + _nb - _o)").select("_a", "_b")
 
 
+def promising_pairs(pairs: DataFrame, found: DataFrame, similar: int) -> DataFrame:
+    """The pairs that may be similar by what their leading parts share.
+
+    Of two leading parts one ends first; up to there all that the sets share is in both parts, and what is left of that
+    set bounds the rest. So the overlap is at most the number of shared leading n-grams and the larger rest."""
+    a = found.select(F.col("_name").alias("_a"), "_x")
+    b = found.select(F.col("_name").alias("_b"), "_x")
+    counted = pairs.join(a, "_a").join(b, ["_b", "_x"]).groupBy("_a", "_b", "_na", "_nb").agg(F.count("*").alias("_c"))
+    rest = lambda n: F.expr(f"({n} * {similar}L + 99) div 100 - 1")
+    return counted.where((100 + similar) * (F.col("_c") + F.greatest(rest("_na"), rest("_nb"))) >= similar * (F.col("_na") + F.col("_nb"))).drop("_c")
+
+
 def ordered_pairs(joined: DataFrame, similar: int) -> DataFrame:
     """Distinct pairs _a < _b from (_name, _size, _other, _other_size) whose sizes allow similarity."""
     fits = joined.where("_name <> _other").where(f"100L * least(_size, _other_size) >= {similar}L * greatest(_size, _other_size)")
@@ -135,26 +148,27 @@ def ordered_pairs(joined: DataFrame, similar: int) -> DataFrame:
     return fits.select(pick("_name", "_other").alias("_a"), pick("_other", "_name").alias("_b"), pick("_size", "_other_size").alias("_na"), pick("_other_size", "_size").alias("_nb")).distinct()
 
 
-def linked_sets(found: DataFrame, cut: DataFrame, similar: int, rounds: int = STAR_ROUNDS) -> DataFrame:
+def linked_sets(docs: DataFrame, rows: DataFrame, found: DataFrame, id_col: str, text_col: str, words: int, similar: int, rounds: int = STAR_ROUNDS) -> DataFrame:
     """_node, _comp: the component of each set that is linked with another.
 
     A bucket's sets are first compared with one of them, chosen by a hash that differs from round to round; sets found
     connected need no comparison with each other, whatever the size of their bucket. After `rounds` such rounds every
-    pair of a bucket's sets that is still in different components is compared, so that no link is lost.
+    pair of a bucket's sets that is still in different components is compared, so that no link is lost. Only sets of
+    pairs that are promising by their leading parts are built again, cut into segments and compared whole.
     """
     labels = edges = None
     for turn in range(rounds + 1):
-        rows = found if labels is None else found.join(labels, F.col("_name") == F.col("_node"), "left").select("_x", "_name", "_size", F.coalesce("_comp", "_name").alias("_comp"))
-        rows = rows if labels is not None else rows.withColumn("_comp", F.col("_name"))
-        split = rows.groupBy(F.col("_x").alias("_y")).agg(F.min(F.struct(F.xxhash64("_name", F.lit(turn)).alias("h"), "_name", "_size", "_comp")).alias("_star"), F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).where("_lo <> _hi")
+        known = found.withColumn("_comp", F.col("_name")) if labels is None else found.join(labels, F.col("_name") == F.col("_node"), "left").select("_x", "_name", "_size", F.coalesce("_comp", "_name").alias("_comp"))
+        split = known.groupBy(F.col("_x").alias("_y")).agg(F.min(F.struct(F.xxhash64("_name", F.lit(turn)).alias("h"), "_name", "_size", "_comp")).alias("_star"), F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).where("_lo <> _hi")
         if turn < rounds:
-            near = rows.join(split, F.col("_x") == F.col("_y")).select("_name", "_size", "_comp", F.col("_star._name").alias("_other"), F.col("_star._size").alias("_other_size"), F.col("_star._comp").alias("_other_comp"))
+            near = known.join(split, F.col("_x") == F.col("_y")).select("_name", "_size", "_comp", F.col("_star._name").alias("_other"), F.col("_star._size").alias("_other_size"), F.col("_star._comp").alias("_other_comp"))
         else:
-            still = staged(rows.join(split, F.col("_x") == F.col("_y"), "left_semi"), "ngram-open")
+            still = staged(known.join(split, F.col("_x") == F.col("_y"), "left_semi"), "ngram-open")
             other = still.select(F.col("_x").alias("_y"), F.col("_name").alias("_other"), F.col("_size").alias("_other_size"), F.col("_comp").alias("_other_comp"))
             near = still.join(other, (F.col("_x") == F.col("_y")) & (F.col("_name") < F.col("_other"))).drop("_x", "_y")
         pairs = staged(ordered_pairs(near.where("_comp <> _other_comp"), similar), "ngram-pairs")
-        new = staged(similar_pairs(pairs, cut, similar), "ngram-links")
+        near = staged(promising_pairs(pairs, found, similar), "ngram-near")
+        new = staged(similar_pairs(near, segments(docs, rows, near, id_col, text_col, words), similar), "ngram-links")
         edges = new if edges is None else edges.union(new)
         labels = components(edges, "ngram")
     return labels
@@ -175,7 +189,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = placed(docs, id_col, text_col, words, similar, leading)
     found = buckets(rows)
-    labels = linked_sets(found, segments(docs, rows, found, id_col, text_col, words), similar)
+    labels = linked_sets(docs, rows, found, id_col, text_col, words, similar)
     own = rows.where("_x is null").select("_id", "_name", "_size")
     least = own.where("_size > 0").groupBy(F.col("_name").alias("_node")).agg(F.min("_id").alias("_least"))
     named = staged(least.join(labels, "_node", "left").select("_node", F.coalesce("_comp", "_node").alias("_comp"), "_least"), "ngram-names")
