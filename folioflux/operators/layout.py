@@ -28,7 +28,7 @@ def lines(words: DataFrame, keys: list[str]) -> DataFrame:
 def reading_order(runs: DataFrame, keys: list[str], gutter: float = 12.0, gap: float = 6.0) -> DataFrame:
     """runs (keys, x0, y0, x1, y1, text) with `place`: recursive cuts, across at blank bands, else down the widest gutter.
     One page is a group; what a group needs is a page's runs."""
-    schema = runs.select(*keys, "x0", "y0", "x1", "y1", "text").schema.add("place", "int")
+    schema = runs.select(*keys, "x0", "y0", "x1", "y1", "text").schema.add("place", "integer")
 
     def cut(rows, low, high, least):
         rows = sorted(rows, key=lambda r: (r[low], r[high]))

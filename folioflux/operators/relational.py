@@ -39,7 +39,7 @@ def roots(edges: DataFrame, child: str, parent: str, max_depth: int = 64) -> Dat
     A parent that is no child is a root. A node on a cycle has no root and is left out."""
     at = edges.select(F.col(child).alias("node"), F.col(parent).alias("up"), F.when(F.col(parent).isNull(), 0).otherwise(1).alias("depth"))
     steps = 1
-    while steps < max_depth:
+    while steps <= max_depth:
         above = at.select(F.col("node").alias("_n"), F.col("up").alias("_u"), F.col("depth").alias("_d"))
         joined = at.join(above, F.col("up") == F.col("_n"), "left")
         at = joined.select("node", F.coalesce("_u", "up").alias("up"), F.when(F.col("_u").isNotNull(), F.col("depth") + F.col("_d")).otherwise(F.col("depth")).alias("depth"))
