@@ -52,9 +52,10 @@ def source_targets(sizes: DataFrame, weights: DataFrame | None = None, max_epoch
     after = order.rowsBetween(0, Window.unboundedFollowing)
     everything = Window.partitionBy(F.lit(1))
     leveled = (
-        per.where("_weight > 0")
+        per.withColumn("_all", F.sum("_total").over(everything))
+        .where("_weight > 0")
         .withColumn("_cap", cap)
-        .withColumn("_level", (F.sum("_total").over(everything) - F.coalesce(F.sum("_cap").over(before), F.lit(0))).cast("double") / F.sum("_weight").over(after))
+        .withColumn("_level", (F.col("_all") - F.coalesce(F.sum("_cap").over(before), F.lit(0))).cast("double") / F.sum("_weight").over(after))
         .withColumn("_full", F.col("_cap") / F.col("_weight") <= F.col("_level"))
         .withColumn("_water", F.min(F.when(~F.col("_full"), F.struct((F.col("_cap") / F.col("_weight")).alias("r"), "_index", "_level"))).over(everything)["_level"])
         .select("_source", "_index", "_total", "_weight", F.when(F.col("_full"), F.col("_cap").cast("double")).otherwise(F.col("_water") * F.col("_weight")).alias("_target"))

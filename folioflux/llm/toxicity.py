@@ -19,6 +19,8 @@ PAD = WORD_BUCKETS + HEAD_BUCKETS
 WIDTHS, FILTERS, SIZE = (1, 2, 3), 12, 12
 #: Bound on the labelled documents that training reads, half of them of each label where there are so many.
 MAX_TRAIN = 4000
+#: Buckets that fewer training texts have stay zero: they could only tell these texts apart, not others.
+RARE = 3
 
 
 @dataclass
@@ -80,8 +82,9 @@ def logits(model: Model, whole: np.ndarray, head: np.ndarray, bounds: np.ndarray
     return pooled(convolve(model, model.E[a] + model.E[b]), start, end) @ model.v + model.c
 
 
-def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps: int = 900, batch: int = 24, rate: float = 0.004, seed: int = 7) -> Model:
-    """Adam on the log loss of batches, half of each label. The first embedding dimension starts from the log-odds of
+def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps: int | None = None, batch: int = 24, rate: float = 0.004, seed: int = 7) -> Model:
+    """Adam on the log loss of batches, half of each label, about twice over
+    the toxic texts. The first embedding dimension starts from the log-odds of
     each bucket over the sample, shrunk for rare ones, and one filter of width 1 reads it; all else starts at random."""
     rng = np.random.default_rng(seed)
     count = np.zeros((2, PAD + 1))
@@ -93,13 +96,16 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps:
     odds = np.log((count[1] + prior[1]) / prior[1]) - np.log((count[0] + prior[0]) / prior[0])
     E = (rng.normal(size=(PAD + 1, SIZE)) * 0.1).astype(np.float32)
     E[:, 0] = np.clip(odds, -3, 6) / 4
-    E[PAD] = 0
+    rare = count.sum(axis=0) < RARE
+    rare[PAD] = True
+    E[rare] = 0
     W = [(rng.normal(size=(k, SIZE, FILTERS)) * 0.2).astype(np.float32) for k in WIDTHS]
     W[0][0][:, 0] = 0
     W[0][0][0, 0] = 1
     v = (np.abs(rng.normal(size=FILTERS * len(WIDTHS))) * 0.1).astype(np.float32)
     v[0] = 2
     model = Model(E, W, [np.zeros(FILTERS, dtype=np.float32) for _ in WIDTHS], v, -1.5)
+    steps = int(np.clip(4 * (labels == 1).sum() / batch, 60, 900)) if steps is None else steps
     if not (labels == 0).any() or not (labels == 1).any():
         model.v[:] = 0
         model.c = 3.0 if (labels == 1).any() else -3.0
@@ -129,7 +135,7 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps:
                 flow = (back[:, f, None] * model.W[n][j].T[None]).reshape(-1, SIZE)
                 np.add.at(g[0], a[at].ravel(), flow)
                 np.add.at(g[0], b[at].ravel(), flow)
-        g[0][PAD] = 0
+        g[0][rare] = 0
         for p, q, u, w in zip(params, g, m, s, strict=True):
             u += 0.1 * (q - u)
             w += 0.01 * (q * q - w)
@@ -139,16 +145,17 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps:
 
 
 def calibrate(model: Model, logit: np.ndarray, labels: np.ndarray, langs: list[str | None], least: int = 20) -> None:
-    """Fits the line from logits to scores on documents that training did not see (Newton steps on the log loss with a
-    weak pull to slope 1), then for each language with `least` documents and both labels the threshold of best F1."""
+    """Fits the line from logits to scores on documents that training did not see (Newton steps on the log loss, the
+    rarer label weighed up by the root of its share, with a weak pull to slope 1), then for each language with `least` documents and both labels the threshold of best F1."""
     w = np.array([1.0, 0.0])
     if (labels == 0).any() and (labels == 1).any():
         x = np.stack([logit, np.ones_like(logit)], axis=1)
+        even = np.sqrt(len(labels) / 2 / np.where(labels == 1, (labels == 1).sum(), (labels == 0).sum()))
         for _ in range(25):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             pull = 0.02 * len(labels) / 10
-            h = (x * (p * (1 - p))[:, None]).T @ x + np.diag([pull, pull]) + 1e-6 * np.eye(2)
-            w = w - np.linalg.solve(h, x.T @ (p - labels) + pull * (w - np.array([1.0, 0.0])))
+            h = (x * (even * p * (1 - p))[:, None]).T @ x + np.diag([pull, pull]) + 1e-6 * np.eye(2)
+            w = w - np.linalg.solve(h, x.T @ (even * (p - labels)) + pull * (w - np.array([1.0, 0.0])))
         if w[0] <= 0:
             w = np.array([1.0, 0.0])
     model.scale, model.shift = float(w[0]), float(w[1])
