@@ -16,14 +16,18 @@ from folioflux.sources.tables import load
 WORDS, SIMILAR = 5, 80
 #: The leading fragments of the hash order, as a share of it, over which n-grams' frequencies are counted.
 LEADING = 0.35
+#: Sets of so many n-grams or fewer are counted whole: a passage that many texts share may fill most of a short one, and
+#: its leading part then reaches past the leading fragments.
+SHORT = 192
 #: n-grams in so many sets or more go last in the order; the most frequent ones of them, up to a bound.
 FREQUENT, MOST_FREQUENT = 16, 1 << 16
 #: Bits of the bitmaps of frequent n-grams, of repeated n-grams and of candidates: their size is bounded by these.
-FREQUENT_BITS, REPEATED_BITS, CANDIDATE_BITS = 22, 26, 24
+FREQUENT_BITS, REPEATED_BITS, CANDIDATE_BITS = 20, 26, 24
 #: Fragments in which overlaps are counted, a power of two.
 FRAGMENTS = 4
-#: Rounds in which the sets of a bucket are compared with one of them only, before all that is still open is compared.
-STAR_ROUNDS = 2
+#: Rounds, at most, in which the sets of a bucket are compared with one of them only, before all that is still open is
+#: compared; and how many different ones a set meets in a round, by its n-grams.
+STAR_ROUNDS, STARS = 2, 4
 
 
 def shingle_set(text: Column, words: int = WORDS) -> Column:
@@ -52,19 +56,23 @@ def set_name(hashes: Column) -> Column:
 
 
 def frequencies(sets: DataFrame, leading: float) -> DataFrame:
-    """_x, _n of the n-grams in the leading fragments that more than one row has. (explode_outer: for explode, Catalyst
+    """_x, _n of the n-grams in the leading fragments, and in short sets, that more than one row has. (explode_outer: for explode, Catalyst
     would build each set twice, once for a filter on its size.)"""
     cut = int(-(2**63) + leading * 2**64)
-    grams = sets.select(F.explode_outer("_set").alias("_x")).where(F.col("_x") < F.lit(cut))
+    sized = sets.select("_set", F.size("_set").alias("_size"))
+    grams = sized.select("_size", F.explode_outer("_set").alias("_x")).where((F.col("_x") < F.lit(cut)) | (F.col("_size") <= SHORT) & F.col("_x").isNotNull())
     return grams.groupBy("_x").agg(F.count("*").alias("_n")).where("_n > 1")
 
 
 def frequent_bits(counts: DataFrame, frequent: int, most: int, bits: int) -> DataFrame:
-    """One row: _frequent, the bitmap of the most frequent n-grams as an array of 2**(bits-6) numbers."""
+    """One row: _frequent, 2**bits booleans, true at the low bits of the most frequent n-grams. An n-gram that shares its
+    low bits with one of them goes last as well: any order will do, if it is the same for all."""
     top = counts.where(F.col("_n") >= frequent).orderBy(F.col("_n").desc(), "_x").limit(most)
     slots = counts.sparkSession.range(1 << (bits - 6)).select(F.col("id").cast("int").alias("_w"))
     filled = slots.join(bitmap(top, "_x", bits), "_w", "left").select("_w", F.coalesce("_bits", F.lit(0).cast("long")).alias("_bits"))
-    return filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("_w", "_bits"))), lambda x: x["_bits"]).alias("_frequent"))
+    words = filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("_w", "_bits"))), lambda x: x["_bits"]).alias("_words"))
+    spread = F.expr("transform(_words, w -> transform(sequence(0, 63), k -> (shiftright(w, k) & 1L) = 1L))")
+    return words.select(F.flatten(spread).alias("_frequent"))
 
 
 def leading_part(sets: DataFrame, bits: int, similar: int) -> DataFrame:
@@ -72,12 +80,10 @@ def leading_part(sets: DataFrame, bits: int, similar: int) -> DataFrame:
     these parts have an n-gram in common."""
 
     def is_frequent(x: Column) -> Column:
-        slot = F.pmod(x, F.lit(1 << bits))
-        word = F.get("_frequent", F.shiftright(slot, 6).cast("int"))
-        return F.call_function("shiftright", word, slot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+        return F.get("_frequent", x.bitwiseAND(F.lit((1 << bits) - 1)).cast("int"))
 
     sized = sets.withColumn("_size", F.size("_set")).withColumn("_take", F.expr(f"_size - cast((_size * {similar}L + 99) div 100 as int) + 1"))
-    near = sized.withColumn("_near", F.filter(F.slice("_set", F.lit(1), F.col("_take") * 2 + 8), lambda x: ~is_frequent(x)))
+    near = sized.withColumn("_near", F.filter(F.slice("_set", F.lit(1), (F.col("_take") * 3 / 2).cast("int") + 8), lambda x: ~is_frequent(x)))
     whole = F.concat(F.filter("_set", lambda x: ~is_frequent(x)), F.filter("_set", is_frequent))
     part = F.when(F.size("_near") >= F.col("_take"), F.slice("_near", F.lit(1), F.col("_take"))).otherwise(F.slice(whole, F.lit(1), F.col("_take")))
     return near.withColumn("_part", F.when(F.col("_size") > 0, part))
@@ -151,16 +157,18 @@ def ordered_pairs(joined: DataFrame, similar: int) -> DataFrame:
 def linked_sets(docs: DataFrame, rows: DataFrame, found: DataFrame, id_col: str, text_col: str, words: int, similar: int, rounds: int = STAR_ROUNDS) -> DataFrame:
     """_node, _comp: the component of each set that is linked with another.
 
-    A bucket's sets are first compared with one of them, chosen by a hash that differs from round to round; sets found
-    connected need no comparison with each other, whatever the size of their bucket. After `rounds` such rounds every
-    pair of a bucket's sets that is still in different components is compared, so that no link is lost. Only sets of
-    pairs that are promising by their leading parts are built again, cut into segments and compared whole.
+    A bucket's sets are first compared with one of them, chosen by a hash that differs from round to round and between
+    buckets; sets found connected need no comparison with each other, whatever the size of their bucket. When a round
+    finds no link, or after `rounds`, every pair of a bucket's sets that is still in different components is compared,
+    so that no link is lost. Only sets of pairs that are promising by their leading parts are built again, cut into
+    segments and compared whole.
     """
     labels = edges = None
-    for turn in range(rounds + 1):
+    turn, last = 0, False
+    while True:
         known = found.withColumn("_comp", F.col("_name")) if labels is None else found.join(labels, F.col("_name") == F.col("_node"), "left").select("_x", "_name", "_size", F.coalesce("_comp", "_name").alias("_comp"))
-        split = known.groupBy(F.col("_x").alias("_y")).agg(F.min(F.struct(F.xxhash64("_name", F.lit(turn)).alias("h"), "_name", "_size", "_comp")).alias("_star"), F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).where("_lo <> _hi")
-        if turn < rounds:
+        split = known.groupBy(F.col("_x").alias("_y")).agg(F.min(F.struct(F.xxhash64("_name", F.lit(turn), F.pmod("_x", F.lit(STARS))).alias("h"), "_name", "_size", "_comp")).alias("_star"), F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).where("_lo <> _hi")
+        if not last:
             near = known.join(split, F.col("_x") == F.col("_y")).select("_name", "_size", "_comp", F.col("_star._name").alias("_other"), F.col("_star._size").alias("_other_size"), F.col("_star._comp").alias("_other_comp"))
         else:
             still = staged(known.join(split, F.col("_x") == F.col("_y"), "left_semi"), "ngram-open")
@@ -170,8 +178,13 @@ def linked_sets(docs: DataFrame, rows: DataFrame, found: DataFrame, id_col: str,
         near = staged(promising_pairs(pairs, found, similar), "ngram-near")
         new = staged(similar_pairs(near, segments(docs, rows, near, id_col, text_col, words), similar), "ngram-links")
         edges = new if edges is None else edges.union(new)
-        labels = components(edges, "ngram")
-    return labels
+        linked = bool(new.take(1))
+        if linked or labels is None:
+            labels = components(edges, "ngram")
+        if last:
+            return labels
+        turn += 1
+        last = not linked or turn >= rounds
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: int = SIMILAR, leading: float = LEADING) -> DataFrame:
