@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -256,3 +255,21 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of documents."""
     found = contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), columns=["doc_id"])
     return found.select("_row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+OP4_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS ws FROM benchmark WHERE item_id IS NOT NULL),
+v AS (SELECT DISTINCT item, least({WINDOW}, len(ws)) AS n, array_to_string(ws[p:p + least({WINDOW}, len(ws)) - 1], ' ') AS k
+      FROM i, unnest(generate_series(1, greatest(len(ws) - {WINDOW - 1}, 1))) t(p) WHERE len(ws) > 0),
+s AS (SELECT DISTINCT n FROM v),
+g AS (SELECT doc_id, p, s.n, array_to_string(ws[p:p + s.n - 1], ' ') AS k FROM d, s, unnest(generate_series(1, len(ws) - s.n + 1)) t(p) WHERE len(ws) >= s.n),
+h AS (SELECT doc_id, p, g.n, item FROM g JOIN v ON g.k = v.k AND g.n = v.n),
+hits AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM h, unnest(generate_series(p, p + n - 1)) u(q) GROUP BY doc_id),
+items AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS l FROM h GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits ON d.doc_id = hits.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
+"""

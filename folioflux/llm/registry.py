@@ -18,6 +18,8 @@ QUERIES: dict = {
 }
 
 ORACLES: dict = {
+    "op4_decontamination": decontamination.OP4_SQL,
+    "op10_ngram_join": ngram_join.OP10_SQL,
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op6_mixing": mixing.OP6_SQL,
 }
