@@ -157,4 +157,4 @@ def code_and_rest(c: Column) -> Column:
 
 def plural(c: Column) -> Column:
     """English plural: es after s, x, ch, sh; ies for y after a consonant; s otherwise."""
-    return F.when(c.rlike("(s|x|ch|sh)$"), F.concat(c, F.lit("es"))).when(c.rlike("[^aeiou]y$"), F.concat(F.expr("''"), F.regexp_replace(c, "y$", "ies"))).otherwise(F.concat(c, F.lit("s")))
+    return F.when(c.rlike("(s|x|ch|sh)$"), F.concat(c, F.lit("es"))).when(c.rlike("[^aeiou]y$"), F.regexp_replace(c, "y$", "ies")).otherwise(F.concat(c, F.lit("s")))
