@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at a time; the arrays beside them take about 40 times that.
-SLICE_BYTES = 3_000_000
+SLICE_BYTES = 1_000_000
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, size=(2, 256), dtype=np.uint64) | np.uint64(1)
