@@ -144,13 +144,15 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps:
     return model
 
 
-def calibrate(model: Model, logit: np.ndarray, labels: np.ndarray, langs: list[str | None], least: int = 20) -> None:
+def calibrate(model: Model, logit: np.ndarray, labels: np.ndarray, langs: list[str | None], least: int = 20, weights: np.ndarray | None = None) -> None:
     """Fits the line from logits to scores on documents that training did not see (Newton steps on the log loss, the
-    rarer label weighed up by the root of its share, with a weak pull to slope 1), then for each language with `least` documents and both labels the threshold of best F1."""
+    rarer label weighed up by the root of its share, with a weak pull to slope 1), then for each language with `least` documents and both labels the threshold of best F1.
+    `weights` says how many documents of the table each one stands for, so that both mean the same whatever was sampled."""
+    each = np.ones(len(labels)) if weights is None else weights * (len(labels) / weights.sum())
     w = np.array([1.0, 0.0])
     if (labels == 0).any() and (labels == 1).any():
         x = np.stack([logit, np.ones_like(logit)], axis=1)
-        even = np.sqrt(len(labels) / 2 / np.where(labels == 1, (labels == 1).sum(), (labels == 0).sum()))
+        even = each * np.sqrt(len(labels) / 2 / np.where(labels == 1, each[labels == 1].sum(), each[labels == 0].sum()))
         for _ in range(25):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             pull = 0.02 * len(labels) / 10
@@ -162,13 +164,13 @@ def calibrate(model: Model, logit: np.ndarray, labels: np.ndarray, langs: list[s
     score, model.thresholds = model.score(logit), {}
     for lang in sorted({x for x in langs if x is not None}):
         own = np.array([x == lang for x in langs])
-        s, y = score[own], labels[own]
+        s, y, n = score[own], labels[own], each[own]
         if len(y) < least or y.min() == y.max():
             continue
         order = np.argsort(-s, kind="stable")
-        s, y = s[order], y[order]
-        hit = np.cumsum(y)
-        f1 = 2 * hit / (np.arange(1, len(y) + 1) + y.sum())
+        s, y, n = s[order], y[order], n[order]
+        hit = np.cumsum(n * y)
+        f1 = 2 * hit / (np.cumsum(n) + hit[-1])
         f1[:-1][s[:-1] == s[1:]] = 0
         best = int(f1.argmax())
         below = s[best + 1] if best + 1 < len(s) else 0.0
@@ -180,11 +182,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     At most max_train documents are read: of each label the half with the smallest hash of their id, so that the choice
     is the same in each run. Which these are is decided on the labels alone; only their ids are broadcast, and only rows
-    of buckets come to the driver. A quarter of them is kept from training for calibration.
+    of buckets come to the driver. A quarter of them is kept from training for calibration, where each stands for as many
+    labelled ids as there are for one chosen of its label: a label that is cut by max_train keeps its share of the table.
     """
     marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
     order = F.xxhash64(F.col("_id"), F.lit(1))
     chosen = marks.where("_y = 1").orderBy(order, "_id").limit(max_train // 2).union(marks.where("_y = 0").orderBy(order, "_id").limit(max_train // 2))
+    labelled = {r["_y"]: r["count"] for r in marks.groupBy("_y").count().collect()}
     picked = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select("_id", "_y", (F.col(lang_col) if lang_col else F.lit(None).cast("string")).alias("_lang"), F.col(text_col).alias("_t"))
 
     def make():
@@ -208,7 +212,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     held = [s for s, x in zip(seqs, aside, strict=True) if x]
     if held:
         out = np.array([logits(model, a, b, np.array([0, len(a)]))[0] for a, b in held])
-        calibrate(model, out, y[aside], [x for x, z in zip(got["_lang"].to_pylist(), aside, strict=True) if z])
+        stands = np.array([max(1.0, labelled.get(k, 0) / max(1, max_train // 2)) for k in (0, 1)])
+        calibrate(model, out, y[aside], [x for x, z in zip(got["_lang"].to_pylist(), aside, strict=True) if z], weights=stands[y[aside]])
     return model
 
 

@@ -36,3 +36,22 @@ def test_odd_rows_and_tables(spark, sf_dir):
     for few in (labels.limit(0), labels.where("toxic = 0"), labels.where("toxic = 1").limit(1)):
         assert all(0 <= r.score <= 1 for r in t.score_texts(odd, t.fit(docs, few)).collect())
     assert t.fit(docs.limit(0), labels).v.sum() == 0
+
+
+def test_calibration_keeps_the_share_of_the_table(spark, monkeypatch):
+    """Half of each label in the sample, one in ten of the table: the line and the thresholds are those of the table."""
+    rng = np.random.default_rng(3)
+    y = (np.arange(20_000) % 10 == 0).astype(np.int64)
+    logit = rng.normal(size=len(y)) * 1.5 + np.where(y == 1, 1.5, -1.5)
+    part = np.concatenate([np.flatnonzero(y == 1), np.flatnonzero(y == 0)[:2000]])
+    models = [t.train([(np.zeros(0, dtype=np.int32),) * 2], np.zeros(1, dtype=np.int64)) for _ in range(2)]
+    t.calibrate(models[0], logit, y, ["a"] * len(y))
+    t.calibrate(models[1], logit[part], y[part], ["a"] * len(part), weights=np.where(y[part] == 1, 1.0, 9.0))
+    assert abs(models[0].scale - models[1].scale) < 0.1 and abs(models[0].shift - models[1].shift) < 0.15
+    assert abs(models[0].thresholds["a"] - models[1].thresholds["a"]) < 0.1
+    seen, real = [], t.calibrate
+    monkeypatch.setattr(t, "calibrate", lambda model, out, y, langs, weights: (seen.append((y, weights)), real(model, out, y, langs, weights=weights)))
+    docs = spark.range(400).selectExpr("id AS doc_id", "if(id % 10 = 0, 'awful fool', 'fine day') AS text", "'a' AS lang")
+    t.fit(docs, docs.selectExpr("doc_id", "cast(doc_id % 10 = 0 AS int) AS toxic"), max_train=40)
+    y, weights = seen[0]
+    assert set(weights[y == 1]) == {2.0} and set(weights[y == 0]) == {18.0}
