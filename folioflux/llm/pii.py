@@ -18,7 +18,11 @@ PATTERNS = {
     "phone": r"(?:(?<![0-9+])\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,5}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: A whole run of digits, blanks and hyphens: cards are looked for inside it (see `card_parts`).
+RUN = r"(?<![0-9A-Za-z-])[0-9][0-9 -]{11,}[0-9](?![0-9A-Za-z])"
+#: Runs and what goes before them where both begin at a place or it begins first; then what is left beside the cards.
+FIRST = "|".join(f"(?:{RUN if k == 'card' else p})" for k, p in PATTERNS.items())
+REST = "|".join(f"(?:{p})" for k, p in PATTERNS.items() if k != "card")
 ROUNDS = 10
 #: Days from 1800-01-01 to 2199-12-31: 400 years, 27 * 5411 days.
 FIRST_DAY, DAY_PARTS = "1800-01-01", (27, 5411)
@@ -114,6 +118,71 @@ def _kind(value: Column) -> Column:
     )
 
 
+def card_parts(run: Column) -> Column:
+    """array<struct<card, s>>: a run cut into its cards and what stands between them. A card is a stretch of 13 to 19
+    digits with a valid Luhn sum that begins and ends at a single blank or hyphen or an end of the run; of those that
+    overlap the ones are taken that cover most digits of the run together, the earlier on ties."""
+
+    def cut(g):
+        # best of the first j groups: digits covered and cards, as groups [a, b); the last 20 of them are kept
+        def step(best, j):
+            def ending(n):
+                digits = F.transform(F.array(F.slice(g, j - n + 1, n)), lambda x: F.when(~F.exists(x, lambda y: y == ""), F.array_join(x, "")))
+                valid = F.exists(digits, lambda d: F.when(F.length(d).between(13, 19), luhn_sum(d, False) % 10 == 0).otherwise(F.lit(False)))
+                before = F.element_at(best, -n)
+                c = before["c"] + F.length(F.array_join(F.slice(g, j - n + 1, n), ""))
+                return F.when(valid, F.struct(c.alias("c"), F.lit(0).alias("same"), F.concat(before["cards"], F.array(F.struct((j - n).alias("a"), j.alias("b")))).alias("cards")))
+
+            last = F.element_at(best, -1)
+            stay = F.struct(last["c"].alias("c"), F.lit(1).alias("same"), last["cards"].alias("cards"))
+            most = F.array_max(F.concat(F.array(stay), F.transform(F.sequence(F.lit(1), F.least(F.size(best), F.lit(19))), ending)))
+            return F.concat(F.slice(best, F.greatest(F.size(best) - 18, F.lit(1)), 19), F.array(most))
+
+        none = F.expr("array(named_struct('c', 0, 'same', 1, 'cards', cast(array() as array<struct<a:int,b:int>>)))")
+        return F.aggregate(F.sequence(F.lit(1), F.size(g)), none, step, lambda best: F.element_at(best, -1)["cards"])
+
+    def tokens(x):
+        # where each card begins and ends in the run, from the lengths of the groups and their separators
+        at = lambda n: F.when(n <= 0, F.lit(0)).otherwise(F.length(F.array_join(F.slice(x["g"], 1, n), " ")))
+        ends = F.transform(x["cards"], lambda c: F.struct((at(c["a"]) + F.when(c["a"] > 0, 1).otherwise(0)).alias("a"), at(c["b"]).alias("b")))
+        between = lambda a, b: F.substring(run, a + 1, b - a)
+
+        def pair(ends, e, i):
+            start = F.when(i > 0, F.try_element_at(ends, i)["b"]).otherwise(0)
+            return F.array(F.struct(F.lit(False).alias("card"), between(start, e["a"]).alias("s")), F.struct(F.lit(True).alias("card"), between(e["a"], e["b"]).alias("s")))
+
+        def pairs(ends):
+            tail = F.coalesce(F.try_element_at(ends, F.lit(-1))["b"], F.lit(0))
+            return F.concat(F.flatten(F.transform(ends, lambda e, i: pair(ends, e, i))), F.array(F.struct(F.lit(False).alias("card"), between(tail, F.length(run)).alias("s"))))
+
+        return F.transform(F.array(ends), pairs)[0]
+
+    groups = F.transform(F.array(F.split(run, "[ -]", -1)), lambda g: F.struct(g.alias("g"), cut(g).alias("cards")))
+    return F.transform(groups, tokens)[0]
+
+
+def apart(text: Column) -> Column:
+    """struct<rests, cards>: the cards of a text, and the texts before, between and after them."""
+    rest = lambda v: F.array(F.struct(F.lit(False).alias("card"), v.alias("s")))
+    pieces = F.arrays_zip(F.split(text, FIRST, -1).alias("piece"), F.regexp_extract_all(text, F.lit(FIRST), F.lit(0)).alias("v"))
+    parts = F.flatten(F.transform(pieces, lambda x: F.concat(rest(x["piece"]), F.when(x["v"].rlike(f"^(?:{RUN})$"), card_parts(x["v"])).otherwise(rest(F.coalesce(x["v"], F.lit("")))))))
+    none = F.expr("named_struct('at', 0, 'last', 0, 'rests', cast(array() as array<string>), 'cards', cast(array() as array<string>))")
+
+    def add(seen, x):
+        to = seen["at"] + F.length(x["s"])
+        return F.struct(
+            to.alias("at"),
+            F.when(x["card"], to).otherwise(seen["last"]).alias("last"),
+            F.when(x["card"], F.concat(seen["rests"], F.array(F.substring(text, seen["last"] + 1, seen["at"] - seen["last"])))).otherwise(seen["rests"]).alias("rests"),
+            F.when(x["card"], F.concat(seen["cards"], F.array(x["s"]))).otherwise(seen["cards"]).alias("cards"),
+        )
+
+    def done(seen):
+        return F.struct(F.concat(seen["rests"], F.array(F.substring(text, seen["last"] + 1, F.length(text)))).alias("rests"), seen["cards"].alias("cards"))
+
+    return F.aggregate(parts, none, add, done)
+
+
 def _shifted(key: str, tweak: str, own: Column, other: Column, turn: int) -> Column:
     """Each letter or digit of `own` moved within its class by what the keyed function gives of `other` and its place."""
     stream = F.sha2(F.concat_ws("|", F.lit(key), F.lit(tweak), F.lit(str(turn)), other), 256)
@@ -188,23 +257,37 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     array<struct<kind, value>> of the pseudonyms in their order.
 
     Values are e-mail addresses, IPv4 addresses, dates, IBANs, card numbers, phone numbers and social security numbers;
-    what has the shape but is not valid stays as it is. Pseudonyms depend on the key, the kind and the value alone, so
+    what has the shape but is not valid stays as it is. Cards are found first, inside runs of digits that may hold other
+    numbers too, and the other kinds in what is left. Pseudonyms depend on the key, the kind and the value alone, so
     they agree across documents, runs and tables. Everything is an expression on the row: no shuffle, no hot key, whole
     texts of any length; a text without a match costs one search. Null texts give the empty text; rows with null or
     repeated ids are rows of their own.
     """
     base = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
-    values = F.regexp_extract_all(F.col("_text"), F.lit(ANY), F.lit(0))
     none = F.expr("cast(array() as array<struct<kind:string,value:string>>)")
+    whole = F.struct(F.array("_text").alias("rests"), F.expr("cast(array() as array<string>)").alias("cards"))
+    split = base.select("_id", "_text", F.when(F.rlike(F.col("_text"), F.lit(RUN)), apart(F.col("_text"))).otherwise(whole).alias("_x"))
 
     def replaced(v):
         return F.transform(F.array(F.struct(_kind(v).alias("kind"), v.alias("v"))), lambda x: F.struct(x["kind"].alias("kind"), pseudonym(key, x["kind"], x["v"]).alias("value")))[0]
 
-    hit = F.rlike(F.col("_text"), F.lit(ANY))
-    with_new = base.select("_id", "_text", F.when(hit, F.transform(values, replaced)).otherwise(none).alias("_new"))
-    pieces = F.arrays_zip(F.split("_text", ANY, -1).alias("piece"), F.col("_new").alias("new"))
-    text = F.when(F.size("_new") > 0, F.array_join(F.transform(pieces, lambda x: F.concat(x["piece"], F.coalesce(x["new"]["value"], F.lit("")))), "")).otherwise(F.col("_text"))
-    return with_new.select(F.col("_id").alias(id_col), text.alias("text"), F.filter("_new", lambda x: x["kind"].isNotNull()).alias("found"))
+    def rest(t):
+        new = F.when(t.rlike(REST), F.transform(F.regexp_extract_all(t, F.lit(REST), F.lit(0)), replaced)).otherwise(none)
+
+        def put(new):
+            pieces = F.arrays_zip(F.split(t, REST, -1).alias("piece"), new.alias("new"))
+            text = F.when(F.size(new) > 0, F.array_join(F.transform(pieces, lambda x: F.concat(x["piece"], F.coalesce(x["new"]["value"], F.lit("")))), "")).otherwise(t)
+            return F.struct(text.alias("text"), F.filter(new, lambda x: x["kind"].isNotNull()).alias("found"))
+
+        return F.transform(F.array(new), put)[0]
+
+    def card(v):
+        return F.transform(F.array(pseudonym(key, F.lit("card"), v)), lambda p: F.struct(p.alias("text"), F.array(F.struct(F.lit("card").alias("kind"), p.alias("value"))).alias("found")))[0]
+
+    with_new = split.select("_id", F.arrays_zip(F.transform("_x.rests", rest).alias("rest"), F.transform("_x.cards", card).alias("card")).alias("_new"))
+    text = F.array_join(F.transform("_new", lambda x: F.concat(x["rest"]["text"], F.coalesce(x["card"]["text"], F.lit("")))), "")
+    found = F.flatten(F.transform("_new", lambda x: F.concat(x["rest"]["found"], F.coalesce(x["card"]["found"], none))))
+    return with_new.select(F.col("_id").alias(id_col), text.alias("text"), found.alias("found"))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,3 +82,20 @@ def test_key_and_nulls(spark):
     one, two = (sorted(str(r.text) for r in pii.pseudonymise(docs, k).collect()) for k in ("a", "b"))
     assert len(one) == 3 and one != two
     assert pii.pseudonymise(docs.limit(0), "a").count() == 0
+
+
+def test_cards_beside_other_numbers(spark):
+    card = "4111 1111 1111 1111"
+    texts = [f"{card} 123", f"{card} 12/27", f"Order 12 {card}", f"12  {card}", f"{card} 01.02.2024", f"7 {card} 4694843406369062 2024-01-02 x", f"{card}-2024-01-02", "12 34 " * 100, f"{card} 12ab", f"card:{card}, {card}."]
+    got = run(spark, texts)
+    for i, t in enumerate(texts):
+        cards = [x.value for x in got[i].found if x.kind == "card"]
+        assert all(luhn(c) for c in cards)
+        if card in t:
+            assert card not in got[i].text and shape(got[i].text) == shape(t)
+            assert any(c.replace(" ", "") == got[0].found[0].value.replace(" ", "") for c in cards), t
+    assert got[0].text.endswith(" 123") and got[1].text.endswith(" 12/27") and got[2].text.startswith("Order 12 ") and got[3].text.startswith("12  ")
+    assert [x.kind for x in got[4].found] == ["card", "date"] and "01.02.2024" not in got[4].text
+    assert [x.kind for x in got[5].found] == ["card", "card", "date"] and "2024-01-02" not in got[5].text and got[5].text.startswith("7 ")
+    assert [x.kind for x in got[6].found] == ["card"] and got[6].text.endswith("-2024-01-02") and len(got[9].found) == 2
+    assert shape(got[7].text) == shape(texts[7])
