@@ -88,9 +88,10 @@ def build_index(templates: dict[str, str]) -> Index:
     return Index(names, words, g[order], t[order], p[order], maybe)
 
 
-def align(text: np.ndarray, template: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
+def align(text: np.ndarray, template: np.ndarray, low: int, high: int, allowed: np.ndarray | None = None) -> tuple[int, int, int]:
     """The longest common subsequence of a template's words and a text's, on diagonals (text minus template) low to high:
-    words matched, and the first and last of the text that match. Ends are free; rows of the band are kept to go back."""
+    words matched, and the first and last of the text that match. Ends are free; rows of the band are kept to go back.
+    `allowed` says on which of the diagonals words may match, all by default."""
     width = high - low + 1
     rows = np.zeros((len(template) + 1, width + 2), dtype=np.int32)
     equal = np.zeros((len(template), width), dtype=bool)
@@ -98,6 +99,8 @@ def align(text: np.ndarray, template: np.ndarray, low: int, high: int) -> tuple[
         j = np.arange(i + low, i + high + 1)
         inside = (j >= 0) & (j < len(text))
         equal[i] = inside & (text[np.clip(j, 0, len(text) - 1)] == word)
+        if allowed is not None:
+            equal[i] &= allowed
         best = np.maximum(rows[i, 1 : width + 1] + equal[i], rows[i, 2 : width + 2])
         rows[i + 1, 1 : width + 1] = np.maximum.accumulate(best)
         rows[i + 1, width + 1] = 0
@@ -115,6 +118,38 @@ def align(text: np.ndarray, template: np.ndarray, low: int, high: int) -> tuple[
     return matched, first, last
 
 
+def chains(clusters: list[tuple[int, int, int, int, int]], length: int) -> list[list[int]]:
+    """Stretches of fingerprints (first and last place in the text, first and last in the template, how many) that continue
+    each other in both orders, with less than a template's length of text between: the chains with most fingerprints, each
+    stretch in one of them, and of two or more stretches."""
+    order = sorted(range(len(clusters)), key=lambda c: clusters[c][0])
+    most, before = {}, {}
+    longest = max((b - a for a, b, *_ in clusters), default=0)
+    for at, c in enumerate(order):
+        most[c], before[c] = clusters[c][4], -1
+        options = []
+        for p in reversed(order[:at]):
+            if clusters[p][0] + longest + GRAM + length <= clusters[c][0]:
+                break
+            gap = clusters[c][0] - clusters[p][1] - GRAM
+            later = all(x < y for x, y in zip(clusters[p][:4], clusters[c][:4], strict=True))
+            if later and gap < length and gap > -2 * GRAM and clusters[p][3] < clusters[c][2] + GRAM:
+                options.append((-most[p], gap, p))
+        if options:
+            best = min(options)
+            most[c], before[c] = most[c] - best[0], best[2]
+    used, found = set(), []
+    for c in sorted(order, key=lambda c: -most[c]):
+        chain = []
+        while c >= 0 and c not in used:
+            used.add(c)
+            chain.append(c)
+            c = before[c]
+        if len(chain) > 1:
+            found.append(chain[::-1])
+    return found
+
+
 def scan_slice(index: Index, data: np.ndarray, offsets: np.ndarray, coverage: float) -> pa.Array:
     words = words_of(data, offsets)
     h = words.hashes()
@@ -128,7 +163,7 @@ def scan_slice(index: Index, data: np.ndarray, offsets: np.ndarray, coverage: fl
     doc, diagonal = words.doc[place], place - index.place[hit]
     order = np.lexsort((place, diagonal, template, doc))
     band = np.array([max(1, min(BAND, len(w) // 4)) for w in index.words], dtype=np.int64)
-    found = []
+    found, clusters = [], {}
     # a cluster: fingerprints of one text and template on diagonals that follow each other within the band
     for part in np.split(order, np.flatnonzero((np.diff(doc[order]) != 0) | (np.diff(template[order]) != 0) | (np.diff(diagonal[order]) > band[template[order[:-1]]])) + 1):
         if not len(part):
@@ -141,6 +176,24 @@ def scan_slice(index: Index, data: np.ndarray, offsets: np.ndarray, coverage: fl
         share = matched / len(index.words[t])
         if share >= coverage:
             found.append((d, -share, -matched, begin + first, begin + last, t))
+        # its stretches: fingerprints that follow each other on one diagonal
+        for run in np.split(part, np.flatnonzero((np.diff(diagonal[part]) != 0) | (np.diff(place[part]) > GRAM + WINDOW)) + 1):
+            x, y, off = int(place[run[0]]), int(place[run[-1]]), int(diagonal[run[0]])
+            clusters.setdefault((d, t), []).append(((x, y, x - off, y - off, len(run)), a, b))
+    # what was put in or left out between two clusters is no part of the template: a chain is aligned in the bands of its clusters
+    for (d, t), own in clusters.items():
+        for chain in chains([c[0] for c in own], len(index.words[t])) if len(own) > 1 else []:
+            bands = {own[c][1:] for c in chain}
+            if len(bands) < 2:
+                continue
+            a, b = min(x for x, _ in bands), max(y for _, y in bands)
+            allowed = np.zeros(b - a + 1, dtype=bool)
+            for x, y in bands:
+                allowed[x - a : y - a + 1] = True
+            begin, end = max(int(words.bounds[d]), a), min(int(words.bounds[d + 1]), b + len(index.words[t]) + 1)
+            matched, first, last = align(h[begin:end], index.words[t], a - begin, b - begin, allowed)
+            if matched / len(index.words[t]) >= coverage:
+                found.append((d, -matched / len(index.words[t]), -matched, begin + first, begin + last, t))
     chars = np.cumsum((data & 0xC0) != 0x80)
     code = lambda byte: int(chars[byte - 1]) if byte else 0
     taken: dict[int, list[tuple[int, int]]] = {}
@@ -162,7 +215,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, text
     """_row (a struct of `columns` of each row, all by default) and matches for each row of `docs`.
 
     A match names the template, the share of its words that the text has in order within the band, how many these are,
-    and the place: first and last word, and code points from start to end (exclusive). Fingerprints of the whole text
+    and the place: first and last word, and code points from start to end (exclusive). Parts of a template that follow
+    each other in the text, with less than its length between, count together and what is between lies in their place.
+    Fingerprints of the whole text
     that the index holds say where to align; matches that overlap a better one are left out.
 
     One pass over the rows in their partitions: no shuffle, memory bounded by a slice of an Arrow batch; the templates

@@ -76,3 +76,25 @@ def test_query_finds_every_whole_notice(spark, sf_dir):
             part, t = words(texts[r.doc_id][int(a) : int(b)]), words(TEMPLATES[name])
             assert int(matched) == lcs(t, part) >= 0.8 * len(t)
     assert seen > 2
+
+
+def test_insertions_and_whole_templates():
+    index = ls.build_index(TEMPLATES)
+
+    def scan(*texts):
+        data = [t.encode() for t in texts]
+        return ls.scan_slice(index, np.frombuffer(b"".join(data), dtype=np.uint8), np.cumsum([0, *map(len, data)]), ls.COVERAGE).to_pylist()
+
+    for name in ("MIT", "Apache-2.0-header", "ISC", "BSD-2-Clause", "Unlicense"):
+        w = TEMPLATES[name].split()
+        k = len(w) // 2
+        for n in (13, 40):
+            added = [f"zq{i}" for i in range(n)]
+            got, doubled = scan(" ".join(w[:k] + added + w[k:]), " ".join([*w, *added, *w]))
+            assert [m["template"] for m in got] == [name] and got[0]["coverage"] == 1 and got[0]["start"] == 0
+            assert [m["template"] for m in doubled] == [name] * 2
+        (half,) = scan(" ".join(w[: k - 5] + added))
+        assert name not in [m["template"] for m in half]
+        (turned,) = scan(" ".join(w[k:] + added + w[:k]))
+        assert name not in [m["template"] for m in turned]
+    assert "SUCH DAMAGE." in TEMPLATES["BSD-2-Clause"] and "PERFORMANCE OF THIS SOFTWARE." in TEMPLATES["ISC"] and "unlicense.org" in TEMPLATES["Unlicense"]
