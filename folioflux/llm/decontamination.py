@@ -22,6 +22,8 @@ WINDOW = 10
 BENCHMARK_BYTES = 8_000_000
 #: A shard is closed at so many symbols, or so many bytes of documents that wait for it.
 SHARD_SYMBOLS, SHARD_BYTES = 1 << 18, 24_000_000
+#: Symbols of one index; those of a larger shard, as of one very long text, go into several that overlap.
+INDEX_SYMBOLS = 1 << 19
 
 FIELDS = "n_words long, n_hit long, items array<string>, spans array<struct<first_word:long,last_word:long,start:long,end:long>>"
 
@@ -134,12 +136,16 @@ class Shard:
         hit, spans, pairs = np.zeros(docs, dtype=np.int64), None, np.zeros((0, 2), dtype=np.int64)
         if self.parts:
             text = {k: np.concatenate([x[k] for x in self.parts]) for k in self.parts[0]}
-            index = FMIndex(text["symbol"], len(p.first) + 1)
-            low, high = index.search(p.patterns, p.sizes)
-            count = high - low
-            window = np.repeat(np.arange(len(count)), count)
-            rows = np.repeat(low, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-            place = index.locate(rows)
+            places, windows = [], []
+            # a window that begins in the last symbols of an index lies whole in the next one; found twice counts once
+            for begin in range(0, len(text["symbol"]), INDEX_SYMBOLS):
+                index = FMIndex(text["symbol"][begin : begin + INDEX_SYMBOLS + p.patterns.shape[1] - 1], len(p.first) + 1)
+                low, high = index.search(p.patterns, p.sizes)
+                count = high - low
+                windows.append(np.repeat(np.arange(len(count)), count))
+                rows = np.repeat(low, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+                places.append(index.locate(rows) + begin)
+            place, window = np.concatenate(places), np.concatenate(windows)
             cover = np.zeros(len(text["symbol"]) + 1, dtype=np.int64)
             np.add.at(cover, place, 1)
             np.add.at(cover, place + p.sizes[window], -1)
@@ -206,7 +212,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     with a window that occurs.
 
     Each task cuts its documents into shards, builds an FM-index of each and searches it backward for all windows at
-    once: no shuffle, no key that could be hot, memory bounded by the shard. The benchmark is compiled on the driver and
+    once: no shuffle, no key that could be hot, memory bounded by the shard, or by the longest text, whose index is cut. The benchmark is compiled on the driver and
     broadcast; its bytes are summed first, and a larger one than `benchmark_bytes` is searched for in several passes of
     about so many bytes each, chained over the same rows. Words are compared by two independent 64-bit hashes.
 

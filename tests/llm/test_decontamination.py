@@ -119,3 +119,28 @@ def test_words(texts):
     assert np.diff(got.bounds).tolist() == [len(x) for x in split]
     h = hash_ranges(got.data, got.start, got.end)
     assert len(set(h.tolist())) == len(set(sum(split, [])))
+
+
+def test_long_texts_are_cut_into_overlapping_indexes(monkeypatch):
+    rng = np.random.default_rng(11)
+    items = [(str(k), " ".join(f"w{x}" for x in rng.integers(0, 3, n))) for k, n in enumerate((3, 10, 11, 14))]
+    phrases = d.compile_phrases(items, 5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 4, n)).encode() for n in (0, 1, 2000, 30, 700)]
+
+    def found(symbols):
+        monkeypatch.setattr(d, "INDEX_SYMBOLS", symbols)
+        shard = d.Shard(phrases)
+        shard.add(np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([0, *map(len, texts)]))
+        return [x.to_pylist() for x in shard.results()]
+
+    whole = found(1 << 19)
+    assert sum(whole[1]) > 50 and all(found(n) == whole for n in (1, 7, 64, 500))
+
+
+def test_a_text_of_more_symbols_than_one_index_can_have():
+    items = [("x", "a b c d e f g h i j")]
+    shard = d.Shard(d.compile_phrases(items))
+    text = ("a b c a " * 550_000 + items[0][1]).encode()
+    shard.add(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)]))
+    n_words, n_hit, names, _ = (x.to_pylist() for x in shard.results())
+    assert n_words == [2_200_010] and n_hit == [10] and names == [["x"]]
