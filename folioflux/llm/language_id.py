@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflux.llm.arrowmap import map_texts
@@ -16,8 +16,8 @@ from folioflux.sources.tables import load
 
 #: Buckets of the hashed features: whole words (the lexicon), affixes of 2 and 3 bytes, and byte 3-grams.
 LEXICON, AFFIX, GRAM = 1 << 15, 1 << 12, 1 << 14
-#: Bound on the documents of each language that training reads, and on languages: the most frequent ones.
-MAX_DOCS, MAX_LANGS = 300, 64
+#: Bound on the documents of each language that training reads.
+MAX_DOCS = 300
 #: Columns over which a chain is cut so that all of them step together.
 COLUMNS = 1024
 
@@ -85,7 +85,7 @@ def forward_backward(model: Model, score: np.ndarray, first: np.ndarray) -> np.n
         return np.zeros((0, k))
     e = np.exp(score - score.max(axis=1, keepdims=True)).astype(np.float64) + 1e-9
     move, begin = np.exp(model.step - model.step.max()), np.exp(model.start - model.start.max())
-    columns = max(1, min(COLUMNS, n // 16))
+    columns = max(1, min(COLUMNS, n // 16, (1 << 22) // max(1, len(model.labels) ** 2)))
     rows = -(-n // columns)
     pad = rows * columns - n
     e = np.concatenate([e, np.ones((pad, k))]).reshape(columns, rows, k)
@@ -183,8 +183,9 @@ def train(rows: list[tuple[list[np.ndarray], np.ndarray, np.ndarray]], y: np.nda
             beta[t] = m / m.sum(axis=1, keepdims=True)
         p = alpha * beta
         p /= p.sum(axis=2, keepdims=True)
-        pair = alpha[:-1, :, :, None] * move * (beta[1:] * e.transpose(1, 0, 2)[1:])[:, :, None, :]
-        pair /= pair.sum(axis=(2, 3), keepdims=True)
+        says = beta[1:] * e.transpose(1, 0, 2)[1:]
+        share = alpha[:-1] / ((alpha[:-1] @ move) * says).sum(axis=2, keepdims=True)
+        pair = move * (share.reshape(-1, k).T @ says.reshape(-1, k))
         want_step, want_start = np.zeros((k, k)), np.bincount(gold[:, 0], minlength=k)
         np.add.at(want_step, (gold[:, :-1].ravel(), gold[:, 1:].ravel()), 1)
         error = (np.eye(k)[truth] - p.transpose(1, 0, 2).reshape(-1, k)).astype(np.float32)
@@ -193,25 +194,22 @@ def train(rows: list[tuple[list[np.ndarray], np.ndarray, np.ndarray]], y: np.nda
             total = np.stack([np.bincount(inverse, weights=grad[:, c], minlength=len(rows_)) for c in range(k)], axis=1).astype(np.float32) - 1e-3 * table[rows_]
             memory[rows_] += total * total
             table[rows_] += rate * total / np.sqrt(memory[rows_])
-        for table, memory, total in ((step, seen_step, (want_step - pair.sum(axis=(0, 1))) / batch), (start, seen_start, (want_start - p[0].sum(axis=0)) / batch)):
+        for table, memory, total in ((step, seen_step, (want_step - pair) / batch), (start, seen_start, (want_start - p[0].sum(axis=0)) / batch)):
             memory += total * total
             table += rate * total / np.sqrt(memory)
     return Model(labels, tables[0], tables[1:5], tables[5], step, start)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS) -> Model:
-    """A model of the MAX_LANGS most frequent values of lang_col, from max_docs whole texts of each: those with the
-    smallest hash of their id. What comes to the driver is bounded by rows; a window by language would gather a whole
-    language, so each language's sample is its own top-k."""
+    """A model of all values of lang_col, from max_docs whole texts of each: those with the smallest hash of their id.
+    What comes to the driver is bounded by rows a language; each partition sends so many of a language at most."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    labels = sorted(r[0] for r in known.groupBy(lang_col).count().orderBy(F.col("count").desc(), lang_col).limit(MAX_LANGS).collect())
+    labels = sorted(r[0] for r in known.select(lang_col).distinct().collect())
     if not labels:
         return Model([], np.zeros((LEXICON, 0)), [np.zeros((AFFIX, 0))] * 4, np.zeros((GRAM, 0)), np.zeros((0, 0)), np.zeros(0))
     order = F.xxhash64(F.col(id_col), F.lit(3))
-    ids = None
-    for label in labels:
-        own = known.where(F.col(lang_col) == label).select(F.col(id_col).alias("_id"), order.alias("_o")).orderBy("_o", "_id").limit(max_docs).select("_id")
-        ids = own if ids is None else ids.union(own)
+    ranked = known.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), order.alias("_o"))
+    ids = ranked.withColumn("_n", F.row_number().over(Window.partitionBy("_lang").orderBy("_o", "_id"))).where(F.col("_n") <= max_docs).select("_id")
     picked = known.join(F.broadcast(ids.distinct()), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi").select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_t"))
 
     def make():
@@ -232,7 +230,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     column = lambda c: [np.asarray(x.values) for x in got[c]]
     features = list(zip(*(column(f"f{i}") for i in range(5)), strict=True))
     rows = [(list(f), g, s) for f, g, s in zip(features, column("gram"), column("size"), strict=True)]
-    y = np.array([labels.index(x) if x in labels else -1 for x in got["_lang"].to_pylist()])
+    place = {x: i for i, x in enumerate(labels)}
+    y = np.array([place.get(x, -1) for x in got["_lang"].to_pylist()])
     return train([r for r, c in zip(rows, y, strict=True) if c >= 0], y[y >= 0], labels)
 
 

@@ -63,3 +63,14 @@ def test_switches_are_found(spark, sf_dir):
     assert tags[10] == "en" and tags[mid] == "de" and tags[-10] == "en"
     runs = li.identify(spark.createDataFrame([(text,)], "text string"), model, spans=True).first().spans
     assert [r.lang for r in runs if r.last_word - r.first_word > 10] == ["en", "de", "en"]
+
+
+def test_every_language_is_learned(spark):
+    from folioflux.llm import language_id as lid
+
+    rows = [(100 * k + n, f"l{k:02}", " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + (n * 7 + i) % 26)}o{k}" for i in range(12))) for k in range(70) for n in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = lid.fit(docs, max_docs=4)
+    assert model.labels == sorted({x for _, x, _ in rows})
+    got = lid.identify(docs, model, columns=["lang"]).select("_row.lang", "lang_pred").collect()
+    assert sum(r.lang == r.lang_pred for r in got) > 0.95 * len(rows)
