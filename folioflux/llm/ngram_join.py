@@ -1,37 +1,36 @@
 """The join of texts whose sets of word 5-grams have a Jaccard similarity of 0.8 or more, by vertical partitioning.
 
-The global order of n-grams is the order of their hashes, frequent ones last. It is cut into fragments; each set falls
-into one segment for each fragment, overlaps are counted segment by segment, and a pair's counts are summed.
+The global order of n-grams is that of their hashes, frequent ones last and those by frequency. It is cut into fragments.
+A set's leading fragment, its first n-grams in that order, is joined first: what two sets share there, and where, bounds
+their overlap. For pairs that may still be similar the overlaps of the other cuts are counted one by one and summed.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from folioflux.llm.common import BLANKS, ascii_lower, bitmap, components, flagged, staged, text_of
 from folioflux.sources.tables import load
 
 #: Words of a shingle, and the similarity from which two sets are linked, in hundredths.
 WORDS, SIMILAR = 5, 80
-#: The leading fragments of the hash order, as a share of it, over which n-grams' frequencies are counted.
-LEADING = 0.35
-#: Sets of so many n-grams or fewer are counted whole: a passage that many texts share may fill most of a short one, and
-#: its leading part then reaches past the leading fragments.
-SHORT = 192
-#: n-grams in so many sets or more go last in the order; the most frequent ones of them, up to a bound.
-FREQUENT, MOST_FREQUENT = 16, 1 << 16
+#: The share of the hash order in which n-grams are counted over all texts. Sets whose leading part reaches past it are
+#: counted whole, among themselves.
+LEADING = 0.3
+#: n-grams in so many sets or more go last in the order; the bound is doubled until at most MOST_FREQUENT have it.
+FREQUENT, MOST_FREQUENT = 16, 1 << 20
 #: Bits of the bitmaps of frequent n-grams, of repeated n-grams and of candidates: their size is bounded by these.
-FREQUENT_BITS, REPEATED_BITS, CANDIDATE_BITS = 20, 26, 24
+FREQUENT_BITS, REPEATED_BITS, CANDIDATE_BITS = 23, 26, 24
 #: Fragments in which overlaps are counted, a power of two.
 FRAGMENTS = 4
-#: Rounds, at most, in which the sets of a bucket are compared with one of them only, before all that is still open is
-#: compared; and how many different ones a set meets in a round, by its n-grams.
-STAR_ROUNDS, STARS = 2, 4
+#: Rounds in which the sets of a bucket are compared with one of them only, before all that is still open is compared.
+STAR_ROUNDS = 2
 
 
-def shingle_set(text: Column, words: int = WORDS) -> Column:
-    """The sorted distinct 64-bit hashes of a text's shingles.
+def shingles(text: Column, words: int = WORDS) -> Column:
+    """The 64-bit hashes of a text's shingles, in its order.
 
     The words are bound by a lambda of their own: where Catalyst moves the expression, it moves as a whole, and the text
     is never split again for each shingle.
@@ -42,82 +41,114 @@ def shingle_set(text: Column, words: int = WORDS) -> Column:
         grams = F.transform(F.sequence(F.lit(0), F.size(w) - words), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(words)]))
         return F.when(F.size(w) >= words, grams).when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.expr("cast(array() as array<bigint>)"))
 
-    return F.sort_array(F.array_distinct(F.flatten(F.transform(F.array(split), hashes))))
+    return F.flatten(F.transform(F.array(split), hashes))
 
 
-def with_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """_id and _set of each row."""
-    return docs.select(F.col(id_col).alias("_id"), shingle_set(text_of(text_col), words).alias("_set"))
+def shingle_set(text: Column, words: int = WORDS) -> Column:
+    """The sorted distinct hashes of a text's shingles."""
+    return F.sort_array(F.array_distinct(shingles(text, words)))
 
 
-def set_name(hashes: Column) -> Column:
-    """One name for equal sets."""
-    return F.xxhash64(hashes)
+def set_names(hashes: Column) -> list[Column]:
+    """_h, _g: two independent 64-bit hashes, by which equal sets are known."""
+    return [F.xxhash64(hashes).alias("_h"), F.xxhash64(F.lit(1), hashes).alias("_g")]
 
 
-def frequencies(sets: DataFrame, leading: float) -> DataFrame:
-    """_x, _n of the n-grams in the leading fragments, and in short sets, that more than one row has. (explode_outer: for explode, Catalyst
-    would build each set twice, once for a filter on its size.)"""
-    cut = int(-(2**63) + leading * 2**64)
-    sized = sets.select("_set", F.size("_set").alias("_size"))
-    grams = sized.select("_size", F.explode_outer("_set").alias("_x")).where((F.col("_x") < F.lit(cut)) | (F.col("_size") <= SHORT) & F.col("_x").isNotNull())
-    return grams.groupBy("_x").agg(F.count("*").alias("_n")).where("_n > 1")
+def cut_at(leading: float) -> Column:
+    """The hash at which the counted part of the order ends."""
+    return F.lit(int(-(2**63) + leading * 2**64))
 
 
-def frequent_bits(counts: DataFrame, frequent: int, most: int, bits: int) -> DataFrame:
-    """One row: _frequent, 2**bits booleans, true at the low bits of the most frequent n-grams. An n-gram that shares its
-    low bits with one of them goes last as well: any order will do, if it is the same for all."""
-    top = counts.where(F.col("_n") >= frequent).orderBy(F.col("_n").desc(), "_x").limit(most)
-    slots = counts.sparkSession.range(1 << (bits - 6)).select(F.col("id").cast("int").alias("_w"))
-    filled = slots.join(bitmap(top, "_x", bits), "_w", "left").select("_w", F.coalesce("_bits", F.lit(0).cast("long")).alias("_bits"))
-    words = filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("_w", "_bits"))), lambda x: x["_bits"]).alias("_words"))
-    spread = F.expr("transform(_words, w -> transform(sequence(0, 63), k -> (shiftright(w, k) & 1L) = 1L))")
-    return words.select(F.flatten(spread).alias("_frequent"))
+def leading_counts(docs: DataFrame, text_col: str, words: int, leading: float) -> DataFrame:
+    """Staged: _x, _n of the n-grams of the leading part of the hash order that occur more than once. (explode_outer: for
+    explode, Catalyst would build each set twice, once for a filter on its size.)"""
+    grams = docs.select(F.explode_outer(shingles(text_of(text_col), words)).alias("_x")).where(F.col("_x") < cut_at(leading))
+    return staged(grams.groupBy("_x").agg(F.count("*").alias("_n")).where("_n > 1"), "ngram-counts")
 
 
-def leading_part(sets: DataFrame, bits: int, similar: int) -> DataFrame:
-    """_part: the first n - ceil(t n) + 1 of a set's n-grams in the global order. Of two sets that are similar enough,
-    these parts have an n-gram in common."""
+def frequency_bound(counts: DataFrame, frequent: int, most: int) -> int:
+    """The least of frequent, 2 * frequent, 4 * frequent ... that at most `most` n-grams reach."""
+    levels = counts.where(F.col("_n") >= frequent).groupBy(F.floor(F.log2(F.col("_n") / frequent)).alias("_l")).agg(F.count("*").alias("_c"))
+    above, bound = 0, frequent
+    for level, count in sorted(levels.collect(), reverse=True):  # one row for each power of two
+        above += count
+        if above > most:
+            return frequent << int(level + 1)
+    return bound
 
-    def is_frequent(x: Column) -> Column:
-        return F.get("_frequent", x.bitwiseAND(F.lit((1 << bits) - 1)).cast("int"))
 
-    sized = sets.withColumn("_size", F.size("_set")).withColumn("_take", F.expr(f"_size - cast((_size * {similar}L + 99) div 100 as int) + 1"))
-    near = sized.withColumn("_near", F.filter(F.slice("_set", F.lit(1), (F.col("_take") * 3 / 2).cast("int") + 8), lambda x: ~is_frequent(x)))
-    whole = F.concat(F.filter("_set", lambda x: ~is_frequent(x)), F.filter("_set", is_frequent))
-    part = F.when(F.size("_near") >= F.col("_take"), F.slice("_near", F.lit(1), F.col("_take"))).otherwise(F.slice(whole, F.lit(1), F.col("_take")))
-    return near.withColumn("_part", F.when(F.col("_size") > 0, part))
+def frequent_bits(counts: DataFrame, frequent: int, most: int, bits: int) -> DataFrame:
+    """One row: _words, 2**bits bits in 64-bit words, set at the low bits of the frequent n-grams. An n-gram that shares
+    its low bits with one of them goes last as well: any order will do, if it is the same for all."""
+    top = counts.where(F.col("_n") >= frequency_bound(counts, frequent, most))
+    slots = counts.sparkSession.range(1 << (bits - 6)).select(F.col("id").cast("int").alias("_w"))
+    filled = slots.join(bitmap(top, "_x", bits), "_w", "left").select("_w", F.coalesce("_bits", F.lit(0).cast("long")).alias("_bits"))
+    return filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("_w", "_bits"))), lambda x: x["_bits"]).alias("_words"))
+
+
+def leading_parts(docs: DataFrame, counts: DataFrame, id_col: str, text_col: str, words: int, similar: int, leading: float) -> DataFrame:
+    """Staged: for each row of docs one row (_id, _h, _g, _size) without _x, and one for each n-gram _x at place _pos of
+    its leading part, the first n - ceil(t n) + 1 in the global order: of two sets that are similar enough, these
+    have an n-gram in common. n-grams that no other text has are left out. Where the part of the order that was counted
+    has too few n-grams of a set that aren't frequent, all its n-grams follow, without a place: see whole_sets."""
+    frequent = staged(frequent_bits(counts, FREQUENT, MOST_FREQUENT, FREQUENT_BITS), "ngram-frequent").scalar()
+
+    def is_frequent(bits: Column, x: Column) -> Column:
+        low = x.bitwiseAND(F.lit((1 << FREQUENT_BITS) - 1))
+        word = F.get(bits, F.shiftright(low, 6).cast("int"))
+        return F.call_function("shiftright", word, low.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    def split(s: Column) -> Column:
+        early = F.transform(F.filter(s["set"], lambda x: x < cut_at(leading)), lambda x: F.struct(x.alias("x"), is_frequent(s["bits"], x).alias("last")))
+        return F.struct(s["set"].alias("set"), F.filter(early, lambda e: ~e["last"]).alias("rare"), F.filter(early, lambda e: e["last"]).alias("last"))
+
+    sets = docs.select(F.col(id_col).alias("_id"), shingle_set(text_of(text_col), words).alias("_set"), frequent.alias("_bits"))
+    # set and bits are named once each, so that Catalyst moves them into the lambda's argument: bits as a column of its
+    # own would be copied beside every set.
+    divided = sets.select("_id", F.transform(F.array(F.struct(F.col("_set").alias("set"), F.col("_bits").alias("bits"))), split)[0].alias("_s"))
+    sized = divided.select("_id", "_s", *set_names(F.col("_s.set")), F.size("_s.set").alias("_size")).withColumn("_take", F.expr(f"_size - cast((_size * {similar}L + 99) div 100 as int) + 1"))
+    entry = lambda x, pos, last: F.struct(x.alias("x"), pos.cast("int").alias("pos"), last.alias("last"))
+    part = F.transform(F.slice("_s.rare", F.lit(1), F.col("_take")), lambda e, i: entry(e["x"], i, F.lit(False)))
+    late = F.transform(F.filter("_s.set", lambda x: x >= cut_at(leading)), lambda x: entry(x, F.lit(None), F.lit(False)))
+    whole = F.concat(*[F.transform(f"_s.{k}", lambda e: entry(e["x"], F.lit(None), e["last"])) for k in ("rare", "last")], late)
+    none = F.expr("cast(array(null) as array<struct<x:bigint,pos:int,last:boolean>>)")
+    each = F.when(F.col("_size") == 0, none).otherwise(F.concat(none, F.when(F.size("_s.rare") >= F.col("_take"), part).otherwise(whole)))
+    rows = sized.select("_id", "_h", "_g", "_size", F.explode_outer(each).alias("_e")).select("_id", "_h", "_g", "_size", F.col("_e.x").alias("_x"), F.col("_e.pos").alias("_pos"), F.col("_e.last").alias("_last"))
+    known = flagged(rows, "_x", bitmap(counts, "_x", REPEATED_BITS), REPEATED_BITS, "_repeated")
+    return staged(known.where("_x is null or _pos is null or _repeated").drop("_repeated"), "ngram-parts")
 
 
-def placed(docs: DataFrame, id_col: str, text_col: str, words: int, similar: int, leading: float) -> DataFrame:
-    """Staged: one row (_id, _name, _size, null) for each row of docs, and one (_id, _name, _size, _x) for each n-gram
-    of its leading part that another row may have as well."""
-    sets = with_sets(docs, id_col, text_col, words)
-    counts = staged(frequencies(sets, leading), "ngram-counts")
-    parts = leading_part(sets.join(F.broadcast(frequent_bits(counts, FREQUENT, MOST_FREQUENT, FREQUENT_BITS))), FREQUENT_BITS, similar)
-    cut = int(-(2**63) + leading * 2**64)
-    rows = parts.select("_id", set_name(F.col("_set")).alias("_name"), "_size", F.explode_outer(F.concat(F.array(F.lit(None).cast("long")), F.coalesce("_part", F.expr("cast(array() as array<bigint>)")))).alias("_x"))
-    known = flagged(rows, "_x", bitmap(counts, "_x", REPEATED_BITS), REPEATED_BITS, "_repeated")
-    return staged(known.where(F.col("_x").isNull() | (F.col("_x") >= F.lit(cut)) | F.col("_repeated")).drop("_repeated"), "ngram-parts")
+def whole_sets(rows: DataFrame, similar: int, leading: float) -> DataFrame:
+    """_h, _g, _size, _x, _pos: the leading parts of the sets that leading_parts gave whole. Their n-grams are counted among
+    themselves: beyond the counted part of the order only these sets' leading parts can meet."""
+    each = staged(rows.where("_x is not null and _pos is null").groupBy("_h", "_g", "_x").agg(F.max("_size").alias("_size"), F.max("_last").alias("_last")), "ngram-whole")
+    counts = each.groupBy(F.col("_x").alias("_y")).agg(F.count("*").alias("_n")).where("_n > 1")
+    known = each.join(counts, F.col("_x") == F.col("_y"), "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
+    last = F.when(F.col("_last") | (F.col("_x") >= cut_at(leading)) & (F.col("_n") >= FREQUENT), F.col("_n")).otherwise(0)
+    placed = known.withColumn("_pos", F.row_number().over(Window.partitionBy("_h", "_g").orderBy(last, "_x")) - 1)
+    return placed.where(f"_pos < _size - cast((_size * {similar}L + 99) div 100 as int) + 1 and _n > 1 or _pos < _size - cast((_size * {similar}L + 99) div 100 as int) + 1 and not _last and _x < {int(-(2**63) + leading * 2**64)}L").select("_h", "_g", "_size", "_x", "_pos")
 
 
-def buckets(rows: DataFrame) -> DataFrame:
-    """Staged: _x, _name, _size of the leading n-grams that two different sets share. Equal sets are one row."""
-    each = rows.where("_x is not null").groupBy("_x", "_name").agg(F.max("_size").alias("_size"))
+def buckets(rows: DataFrame, names: DataFrame, similar: int, leading: float) -> DataFrame:
+    """Staged: _x, _name, _size, _pos of the leading n-grams that two different sets share. Equal sets are one row."""
+    near = rows.where("_pos is not null").select("_h", "_g", "_size", "_x", "_pos")
+    each = near.union(whole_sets(rows, similar, leading)).groupBy("_x", "_h", "_g").agg(F.max("_size").alias("_size"), F.max("_pos").alias("_pos"))
+    each = staged(each, "ngram-leading")
     shared = each.groupBy(F.col("_x").alias("_y")).agg(F.count("*").alias("_n")).where("_n > 1")
-    return staged(each.join(shared, F.col("_x") == F.col("_y"), "left_semi"), "ngram-buckets")
+    found = each.join(shared, F.col("_x") == F.col("_y"), "left_semi")
+    return staged(found.join(names.select("_h", "_g", "_name"), ["_h", "_g"]).select("_x", "_name", "_size", "_pos"), "ngram-buckets")
 
 
-def segments(docs: DataFrame, rows: DataFrame, pairs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+def segments(docs: DataFrame, names: DataFrame, pairs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """_name, _fragment, _segment of the sets in `pairs`. One row stands for equal sets; rows that can't be it are left
     out by a bitmap of ids before their set is built again."""
-    names = pairs.select(F.col("_a").alias("_name")).union(pairs.select("_b")).distinct()
-    first = rows.where("_x is null").groupBy("_name").agg(F.min("_id").alias("_id")).join(names, "_name", "left_semi")
-    flag = flagged(docs.select(id_col, text_col).withColumn("_k", F.xxhash64(F.col(id_col))), "_k", bitmap(first.withColumn("_k", F.xxhash64("_id")), "_k", CANDIDATE_BITS), CANDIDATE_BITS, "_may")
+    wanted = staged(names.join(pairs.select(F.col("_a").alias("_name")).union(pairs.select("_b")).distinct(), "_name", "left_semi").select("_name", "_h", "_g", F.xxhash64("_first").alias("_k")), "ngram-wanted")
+    flag = flagged(docs.select(F.xxhash64(F.col(id_col)).alias("_k"), F.col(text_col).alias("_text")), "_k", bitmap(wanted, "_k", CANDIDATE_BITS), CANDIDATE_BITS, "_may")
     shift = 64 - (FRAGMENTS.bit_length() - 1)
-    sets = with_sets(flag.where("_may"), id_col, text_col, words).select(set_name(F.col("_set")).alias("_name"), "_set")
-    cut = sets.select("_name", F.explode_outer(F.array(*[F.struct(F.lit(f).alias("_fragment"), F.filter("_set", _in_fragment(f, shift)).alias("_segment")) for f in range(FRAGMENTS)])).alias("s"))
-    return staged(cut.groupBy("_name", F.col("s._fragment").alias("_fragment")).agg(F.first("s._segment").alias("_segment")).where("size(_segment) > 0"), "ngram-segments")
+    sets = flag.where("_may").select(shingle_set(text_of("_text"), words).alias("_set")).select("_set", *set_names(F.col("_set")))
+    cut = sets.select("_h", "_g", F.explode_outer(F.array(*[F.struct(F.lit(f).alias("_fragment"), F.filter("_set", _in_fragment(f, shift)).alias("_segment")) for f in range(FRAGMENTS)])).alias("s"))
+    named = cut.join(wanted.drop("_k"), ["_h", "_g"]).where("size(s._segment) > 0")
+    return staged(named.groupBy("_name", F.col("s._fragment").alias("_fragment")).agg(F.first("s._segment").alias("_segment")), "ngram-segments")
 
 
 def _in_fragment(f: int, shift: int):
@@ -135,7 +166,7 @@ def similar_pairs(pairs: DataFrame, cut: DataFrame, similar: int) -> DataFrame:
 
 
 def promising_pairs(pairs: DataFrame, found: DataFrame, similar: int) -> DataFrame:
-    """The pairs that may be similar by what their leading parts share.
+    """The pairs that may be similar by what their leading fragments share.
 
     Of two leading parts one ends first; up to there all that the sets share is in both parts, and what is left of that
     set bounds the rest. So the overlap is at most the number of shared leading n-grams and the larger rest."""
@@ -146,37 +177,47 @@ def promising_pairs(pairs: DataFrame, found: DataFrame, similar: int) -> DataFra
     return counted.where((100 + similar) * (F.col("_c") + F.greatest(rest("_na"), rest("_nb"))) >= similar * (F.col("_na") + F.col("_nb"))).drop("_c")
 
 
-def ordered_pairs(joined: DataFrame, similar: int) -> DataFrame:
-    """Distinct pairs _a < _b from (_name, _size, _other, _other_size) whose sizes allow similarity."""
-    fits = joined.where("_name <> _other").where(f"100L * least(_size, _other_size) >= {similar}L * greatest(_size, _other_size)")
+def may_be_similar(similar: int) -> Column:
+    """Whether sets of _size and _other_size may be similar if the first n-gram that they share is at _pos and _other_pos.
+
+    Every n-gram that they share is at or after these places. (At a later shared n-gram the test is stricter; the pair
+    meets at the first as well, so it may be left out here.)"""
+    return F.expr(f"{100 + similar}L * least(_size - _pos, _other_size - _other_pos) >= {similar}L * (_size + _other_size)")
+
+
+def ordered_pairs(joined: DataFrame) -> DataFrame:
+    """Distinct pairs _a < _b from (_name, _size, _other, _other_size)."""
     swap = F.col("_name") > F.col("_other")
     pick = lambda a, b: F.when(swap, F.col(b)).otherwise(F.col(a))
-    return fits.select(pick("_name", "_other").alias("_a"), pick("_other", "_name").alias("_b"), pick("_size", "_other_size").alias("_na"), pick("_other_size", "_size").alias("_nb")).distinct()
+    return joined.select(pick("_name", "_other").alias("_a"), pick("_other", "_name").alias("_b"), pick("_size", "_other_size").alias("_na"), pick("_other_size", "_size").alias("_nb")).distinct()
 
 
-def linked_sets(docs: DataFrame, rows: DataFrame, found: DataFrame, id_col: str, text_col: str, words: int, similar: int, rounds: int = STAR_ROUNDS) -> DataFrame:
+def linked_sets(docs: DataFrame, names: DataFrame, found: DataFrame, id_col: str, text_col: str, words: int, similar: int, rounds: int = STAR_ROUNDS) -> DataFrame:
     """_node, _comp: the component of each set that is linked with another.
 
-    A bucket's sets are first compared with one of them, chosen by a hash that differs from round to round and between
-    buckets; sets found connected need no comparison with each other, whatever the size of their bucket. When a round
-    finds no link, or after `rounds`, every pair of a bucket's sets that is still in different components is compared,
-    so that no link is lost. Only sets of pairs that are promising by their leading parts are built again, cut into
-    segments and compared whole.
+    A bucket's sets are first compared with one of them: the one with the fewest n-grams before the shared one, hence the
+    closest to what the others have in common; in later rounds one by a hash. Sets found connected need no comparison
+    with each other, whatever the size of their bucket. When a round finds no link, or after `rounds`, every pair of a
+    bucket's sets that is still in different components, and that may be similar by sizes and places, is compared, so
+    that no link is lost. Only sets of pairs that are promising by their leading fragments are built again, cut into
+    fragments and compared whole.
     """
     labels = edges = None
     turn, last = 0, False
     while True:
-        known = found.withColumn("_comp", F.col("_name")) if labels is None else found.join(labels, F.col("_name") == F.col("_node"), "left").select("_x", "_name", "_size", F.coalesce("_comp", "_name").alias("_comp"))
-        split = known.groupBy(F.col("_x").alias("_y")).agg(F.min(F.struct(F.xxhash64("_name", F.lit(turn), F.pmod("_x", F.lit(STARS))).alias("h"), "_name", "_size", "_comp")).alias("_star"), F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).where("_lo <> _hi")
+        known = found.withColumn("_comp", F.col("_name")) if labels is None else found.join(labels, F.col("_name") == F.col("_node"), "left").select("_x", "_name", "_size", "_pos", F.coalesce("_comp", "_name").alias("_comp"))
+        central = F.col("_pos").cast("long") if turn == 0 else F.xxhash64("_name", F.lit(turn))
+        split = known.groupBy(F.col("_x").alias("_y")).agg(F.min(F.struct(central.alias("h"), "_name", "_size", "_pos", "_comp")).alias("_star"), F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).where("_lo <> _hi")
         if not last:
-            near = known.join(split, F.col("_x") == F.col("_y")).select("_name", "_size", "_comp", F.col("_star._name").alias("_other"), F.col("_star._size").alias("_other_size"), F.col("_star._comp").alias("_other_comp"))
+            star = split.select("_y", F.col("_star._name").alias("_other"), F.col("_star._size").alias("_other_size"), F.col("_star._pos").alias("_other_pos"), F.col("_star._comp").alias("_other_comp"))
+            near = known.join(star, (F.col("_x") == F.col("_y")) & (F.col("_comp") != F.col("_other_comp")) & may_be_similar(similar))
         else:
             still = staged(known.join(split, F.col("_x") == F.col("_y"), "left_semi"), "ngram-open")
-            other = still.select(F.col("_x").alias("_y"), F.col("_name").alias("_other"), F.col("_size").alias("_other_size"), F.col("_comp").alias("_other_comp"))
-            near = still.join(other, (F.col("_x") == F.col("_y")) & (F.col("_name") < F.col("_other"))).drop("_x", "_y")
-        pairs = staged(ordered_pairs(near.where("_comp <> _other_comp"), similar), "ngram-pairs")
+            other = still.select(F.col("_x").alias("_y"), F.col("_name").alias("_other"), F.col("_size").alias("_other_size"), F.col("_pos").alias("_other_pos"), F.col("_comp").alias("_other_comp"))
+            near = still.join(other, (F.col("_x") == F.col("_y")) & (F.col("_name") < F.col("_other")) & (F.col("_comp") != F.col("_other_comp")) & may_be_similar(similar))
+        pairs = staged(ordered_pairs(near), "ngram-pairs")
         near = staged(promising_pairs(pairs, found, similar), "ngram-near")
-        new = staged(similar_pairs(near, segments(docs, rows, near, id_col, text_col, words), similar), "ngram-links")
+        new = staged(similar_pairs(near, segments(docs, names, near, id_col, text_col, words), similar), "ngram-links")
         edges = new if edges is None else edges.union(new)
         linked = bool(new.take(1))
         if linked or labels is None:
@@ -193,24 +234,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A set is a text's distinct shingles of `words` words, A-Z lower-cased; a text of fewer words has the whole sequence
     as its only one, a text without words or null has none and is linked with nothing, its component its own id. Two
     rows are linked when 100 * |A and B| >= similar * |A or B|; equal sets always are. Ids that repeat are one document
-    for component_id's sake; a null id is passed over where another id is reachable. An empty table gives no rows.
+    for component_id's sake; a null id is passed over where another id is reachable. An empty table gives no rows. Only
+    id_col and text_col are read, so further columns, whatever their names, do no harm.
 
-    Sets are built where the texts are and never shuffled whole: counts of n-grams of the leading fragments, then the
-    n-grams of leading parts that occur twice, then only the sets that share one. Groups of equal sets are one name from
-    then on; large groups of near copies are compared with one member a round (see linked_sets); the last join, from
-    rows to components, may be split by AQE where one set has many rows. What is broadcast are bitmaps of fixed size.
+    Sets are built where the texts are and never shuffled whole: counts of n-grams of a part of the order, then the
+    n-grams of leading parts that occur twice, then only the sets that share one. Equal sets, known by two 64-bit hashes, are
+    one number from then on; large groups of near copies are compared with one member a round (see linked_sets); the last
+    join, from rows to components, may be split by AQE where one set has many rows. What is broadcast are bitmaps of fixed size.
     """
-    rows = placed(docs, id_col, text_col, words, similar, leading)
-    found = buckets(rows)
-    labels = linked_sets(docs, rows, found, id_col, text_col, words, similar)
-    own = rows.where("_x is null").select("_id", "_name", "_size")
-    least = own.where("_size > 0").groupBy(F.col("_name").alias("_node")).agg(F.min("_id").alias("_least"))
-    named = staged(least.join(labels, "_node", "left").select("_node", F.coalesce("_comp", "_node").alias("_comp"), "_least"), "ngram-names")
-    comps = named.groupBy("_comp").agg(F.min("_least").alias("_first"))
-    firsts = named.join(comps, "_comp").select(F.xxhash64("_node").alias("_m"), "_node", "_first")
-    keyed = own.withColumn("_k", F.when(F.col("_size") > 0, F.xxhash64("_name")).otherwise(F.xxhash64("_id", F.lit("empty"))))
-    return keyed.join(firsts, (F.col("_k") == F.col("_m")), "left").select(
-        F.col("_id").alias(id_col), F.col("_size").cast("long").alias("n_shingles"), F.when(F.col("_size") > 0, F.coalesce("_first", "_id")).otherwise(F.col("_id")).alias("component_id")
+    counts = leading_counts(docs, text_col, words, leading)
+    rows = leading_parts(docs, counts, id_col, text_col, words, similar, leading)
+    own = rows.where("_x is null").select("_id", "_h", "_g", "_size")
+    distinct = own.where("_size > 0").groupBy("_h", "_g").agg(F.min("_id").alias("_first"))
+    names = staged(distinct.withColumn("_name", F.monotonically_increasing_id()), "ngram-names")
+    labels = linked_sets(docs, names, buckets(rows, names, similar, leading), id_col, text_col, words, similar)
+    named = staged(names.join(labels, F.col("_name") == F.col("_node"), "left").select("_h", "_g", F.coalesce("_comp", "_name").alias("_comp"), "_first"), "ngram-components")
+    comps = named.groupBy(F.col("_comp").alias("_c")).agg(F.min("_first").alias("_least"))
+    firsts = named.join(comps, F.col("_comp") == F.col("_c")).select(F.col("_h").alias("_m"), F.col("_g").alias("_o"), "_least")
+    keyed = own.withColumn("_k", F.when(F.col("_size") > 0, F.col("_h")).otherwise(F.xxhash64("_id", F.lit("empty"))))
+    return keyed.join(firsts, (F.col("_k") == F.col("_m")) & (F.col("_g") == F.col("_o")), "left").select(
+        F.col("_id").alias(id_col), F.col("_size").cast("long").alias("n_shingles"), F.when(F.col("_size") > 0, F.coalesce("_least", "_id")).otherwise(F.col("_id")).alias("component_id")
     )
 
 
