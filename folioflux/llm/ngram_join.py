@@ -130,25 +130,21 @@ def whole_sets(rows: DataFrame, similar: int, leading: float) -> DataFrame:
 
 
 def buckets(rows: DataFrame, names: DataFrame, similar: int, leading: float) -> DataFrame:
-    """Staged: _x, _name, _size, _pos of the leading n-grams that two different sets share. Equal sets are one row."""
+    """Staged: _x, _name, _size, _pos of the leading n-grams that other texts have as well. Equal sets are one row."""
     near = rows.where("_pos is not null").select("_h", "_g", "_size", "_x", "_pos")
     each = near.union(whole_sets(rows, similar, leading)).groupBy("_x", "_h", "_g").agg(F.max("_size").alias("_size"), F.max("_pos").alias("_pos"))
-    each = staged(each, "ngram-leading")
-    shared = each.groupBy(F.col("_x").alias("_y")).agg(F.count("*").alias("_n")).where("_n > 1")
-    found = each.join(shared, F.col("_x") == F.col("_y"), "left_semi")
-    return staged(found.join(names.select("_h", "_g", "_name"), ["_h", "_g"]).select("_x", "_name", "_size", "_pos"), "ngram-buckets")
+    return staged(each.join(names.select("_h", "_g", "_name"), ["_h", "_g"]).select("_x", "_name", "_size", "_pos"), "ngram-buckets")
 
 
 def segments(docs: DataFrame, names: DataFrame, pairs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """_name, _fragment, _segment of the sets in `pairs`. One row stands for equal sets; rows that can't be it are left
-    out by a bitmap of ids before their set is built again."""
+    """Staged: _name, _fragment, _segment of the sets in `pairs`. One id stands for equal sets; rows that don't have it
+    are left out by a bitmap of ids before their set is built again. A set may come more than once."""
     wanted = staged(names.join(pairs.select(F.col("_a").alias("_name")).union(pairs.select("_b")).distinct(), "_name", "left_semi").select("_name", "_h", "_g", F.xxhash64("_first").alias("_k")), "ngram-wanted")
     flag = flagged(docs.select(F.xxhash64(F.col(id_col)).alias("_k"), F.col(text_col).alias("_text")), "_k", bitmap(wanted, "_k", CANDIDATE_BITS), CANDIDATE_BITS, "_may")
     shift = 64 - (FRAGMENTS.bit_length() - 1)
     sets = flag.where("_may").select(shingle_set(text_of("_text"), words).alias("_set")).select("_set", *set_names(F.col("_set")))
     cut = sets.select("_h", "_g", F.explode_outer(F.array(*[F.struct(F.lit(f).alias("_fragment"), F.filter("_set", _in_fragment(f, shift)).alias("_segment")) for f in range(FRAGMENTS)])).alias("s"))
-    named = cut.join(wanted.drop("_k"), ["_h", "_g"]).where("size(s._segment) > 0")
-    return staged(named.groupBy("_name", F.col("s._fragment").alias("_fragment")).agg(F.first("s._segment").alias("_segment")), "ngram-segments")
+    return staged(cut.join(wanted.drop("_k"), ["_h", "_g"]).where("size(s._segment) > 0").select("_name", "s._fragment", "s._segment"), "ngram-segments")
 
 
 def _in_fragment(f: int, shift: int):
@@ -156,12 +152,13 @@ def _in_fragment(f: int, shift: int):
 
 
 def similar_pairs(pairs: DataFrame, cut: DataFrame, similar: int) -> DataFrame:
-    """The pairs (_a, _b, _na, _nb) whose sets are similar: overlaps counted by fragment, then summed."""
+    """The pairs (_a, _b, _na, _nb) whose sets are similar: overlaps counted by fragment, each once, then summed."""
     left = cut.select(F.col("_name").alias("_a"), "_fragment", F.col("_segment").alias("_s"))
     right = cut.select(F.col("_name").alias("_b"), "_fragment", F.col("_segment").alias("_t"))
     met = pairs.join(left, "_a").join(right, ["_b", "_fragment"])
-    partial = met.select("_a", "_b", "_na", "_nb", F.size(F.array_intersect("_s", "_t")).cast("long").alias("_o"))
-    total = partial.groupBy("_a", "_b", "_na", "_nb").agg(F.sum("_o").alias("_o"))
+    partial = met.select("_a", "_b", "_na", "_nb", "_fragment", F.size(F.array_intersect("_s", "_t")).cast("long").alias("_o"))
+    counts = partial.groupBy("_a", "_b", "_na", "_nb").agg(*[F.max(F.when(F.col("_fragment") == f, F.col("_o")).otherwise(0)).alias(f"_o{f}") for f in range(FRAGMENTS)])
+    total = counts.withColumn("_o", sum((F.col(f"_o{f}") for f in range(1, FRAGMENTS)), F.col("_o0")))
     return total.where(f"100 * _o >= {similar} * (_na + _nb - _o)").select("_a", "_b")
 
 
@@ -196,36 +193,42 @@ def linked_sets(docs: DataFrame, names: DataFrame, found: DataFrame, id_col: str
     """_node, _comp: the component of each set that is linked with another.
 
     A bucket's sets are first compared with one of them: the one with the fewest n-grams before the shared one, hence the
-    closest to what the others have in common; in later rounds one by a hash. Sets found connected need no comparison
-    with each other, whatever the size of their bucket. When a round finds no link, or after `rounds`, every pair of a
-    bucket's sets that is still in different components, and that may be similar by sizes and places, is compared, so
-    that no link is lost. Only sets of pairs that are promising by their leading fragments are built again, cut into
-    fragments and compared whole.
+    closest to what the others have in common; in later rounds one by a hash. A set that all others of its bucket have been
+    compared with leaves the bucket; so do all sets of a bucket that are one component, whatever their number. When a
+    round finds no link, or after `rounds`, every pair of a bucket's sets that is still in different components, and that
+    may be similar by sizes and places, is compared, so that no link is lost. Only sets of pairs that are promising by
+    their leading fragments are built again, cut into fragments and compared whole.
     """
-    labels = edges = None
-    turn, last = 0, False
-    while True:
-        known = found.withColumn("_comp", F.col("_name")) if labels is None else found.join(labels, F.col("_name") == F.col("_node"), "left").select("_x", "_name", "_size", "_pos", F.coalesce("_comp", "_name").alias("_comp"))
+    labels, edges, known = None, None, found.withColumn("_comp", F.col("_name"))
+    for turn in range(rounds):
         central = F.col("_pos").cast("long") if turn == 0 else F.xxhash64("_name", F.lit(turn))
-        split = known.groupBy(F.col("_x").alias("_y")).agg(F.min(F.struct(central.alias("h"), "_name", "_size", "_pos", "_comp")).alias("_star"), F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).where("_lo <> _hi")
-        if not last:
-            star = split.select("_y", F.col("_star._name").alias("_other"), F.col("_star._size").alias("_other_size"), F.col("_star._pos").alias("_other_pos"), F.col("_star._comp").alias("_other_comp"))
-            near = known.join(star, (F.col("_x") == F.col("_y")) & (F.col("_comp") != F.col("_other_comp")) & may_be_similar(similar))
-        else:
-            still = staged(known.join(split, F.col("_x") == F.col("_y"), "left_semi"), "ngram-open")
-            other = still.select(F.col("_x").alias("_y"), F.col("_name").alias("_other"), F.col("_size").alias("_other_size"), F.col("_pos").alias("_other_pos"), F.col("_comp").alias("_other_comp"))
-            near = still.join(other, (F.col("_x") == F.col("_y")) & (F.col("_name") < F.col("_other")) & (F.col("_comp") != F.col("_other_comp")) & may_be_similar(similar))
-        pairs = staged(ordered_pairs(near), "ngram-pairs")
-        near = staged(promising_pairs(pairs, found, similar), "ngram-near")
-        new = staged(similar_pairs(near, segments(docs, names, near, id_col, text_col, words), similar), "ngram-links")
+        star = open_buckets(known, F.min(F.struct(central.alias("h"), "_name", "_size", "_pos", "_comp")).alias("_star")).select("_y", *[F.col(f"_star.{c}").alias(f"_other{c}".replace("_name", "")) for c in ("_name", "_size", "_pos", "_comp")])
+        met = known.join(star, (F.col("_x") == F.col("_y")) & (F.col("_name") != F.col("_other")))
+        rest = staged(met, f"ngram-round-{turn}")
+        new = compared(docs, names, found, rest.where((F.col("_comp") != F.col("_other_comp")) & may_be_similar(similar)), id_col, text_col, words, similar)
         edges = new if edges is None else edges.union(new)
         linked = bool(new.take(1))
         if linked or labels is None:
             labels = components(edges, "ngram")
-        if last:
-            return labels
-        turn += 1
-        last = not linked or turn >= rounds
+        known = rest.select("_x", "_name", "_size", "_pos").join(labels, F.col("_name") == F.col("_node"), "left").select("_x", "_name", "_size", "_pos", F.coalesce("_comp", "_name").alias("_comp"))
+        if not linked:
+            break
+    still = staged(known.join(open_buckets(known), F.col("_x") == F.col("_y"), "left_semi"), "ngram-open")
+    other = still.select(F.col("_x").alias("_y"), F.col("_name").alias("_other"), F.col("_size").alias("_other_size"), F.col("_pos").alias("_other_pos"), F.col("_comp").alias("_other_comp"))
+    near = still.join(other, (F.col("_x") == F.col("_y")) & (F.col("_name") < F.col("_other")) & (F.col("_comp") != F.col("_other_comp")) & may_be_similar(similar))
+    return components(edges.union(compared(docs, names, found, near, id_col, text_col, words, similar)), "ngram")
+
+
+def open_buckets(known: DataFrame, *more: Column) -> DataFrame:
+    """_y: the n-grams whose sets are in more than one component, with the aggregates `more`."""
+    return known.groupBy(F.col("_x").alias("_y")).agg(F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi"), *more).where("_lo <> _hi")
+
+
+def compared(docs: DataFrame, names: DataFrame, found: DataFrame, met: DataFrame, id_col: str, text_col: str, words: int, similar: int) -> DataFrame:
+    """Staged: the similar ones (_a, _b) of the pairs in `met` (_name, _size, _other, _other_size)."""
+    pairs = staged(ordered_pairs(met), "ngram-pairs")
+    near = staged(promising_pairs(pairs, found, similar), "ngram-near")
+    return staged(similar_pairs(near, segments(docs, names, near, id_col, text_col, words), similar), "ngram-links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: int = SIMILAR, leading: float = LEADING) -> DataFrame:
