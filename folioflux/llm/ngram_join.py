@@ -137,25 +137,27 @@ def buckets(rows: DataFrame, names: DataFrame, similar: int, leading: float) ->
 
 
 def segments(docs: DataFrame, names: DataFrame, pairs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """Staged: _name, _fragment, _segment of the sets in `pairs`. One id stands for equal sets; rows that don't have it
-    are left out by a bitmap of ids before their set is built again. A set may come more than once."""
-    wanted = staged(names.join(pairs.select(F.col("_a").alias("_name")).union(pairs.select("_b")).distinct(), "_name", "left_semi").select("_name", "_h", "_g", F.xxhash64("_first").alias("_k")), "ngram-wanted")
+    """Staged: _h, _g, _fragment, _segment of the sets in `pairs`, and of a few others. One id stands for equal sets; rows
+    that don't have it are left out by a bitmap of ids before their set is built again. A set may come more than once."""
+    wanted = names.join(pairs.select(F.col("_a").alias("_name")).union(pairs.select("_b")).distinct(), "_name", "left_semi").select(F.xxhash64("_first").alias("_k"))
     flag = flagged(docs.select(F.xxhash64(F.col(id_col)).alias("_k"), F.col(text_col).alias("_text")), "_k", bitmap(wanted, "_k", CANDIDATE_BITS), CANDIDATE_BITS, "_may")
     shift = 64 - (FRAGMENTS.bit_length() - 1)
     sets = flag.where("_may").select(shingle_set(text_of("_text"), words).alias("_set")).select("_set", *set_names(F.col("_set")))
     cut = sets.select("_h", "_g", F.explode_outer(F.array(*[F.struct(F.lit(f).alias("_fragment"), F.filter("_set", _in_fragment(f, shift)).alias("_segment")) for f in range(FRAGMENTS)])).alias("s"))
-    return staged(cut.join(wanted.drop("_k"), ["_h", "_g"]).where("size(s._segment) > 0").select("_name", "s._fragment", "s._segment"), "ngram-segments")
+    return staged(cut.where("size(s._segment) > 0").select("_h", "_g", "s._fragment", "s._segment"), "ngram-segments")
 
 
 def _in_fragment(f: int, shift: int):
     return lambda x: F.shiftright(x, shift) == f - FRAGMENTS // 2
 
 
-def similar_pairs(pairs: DataFrame, cut: DataFrame, similar: int) -> DataFrame:
-    """The pairs (_a, _b, _na, _nb) whose sets are similar: overlaps counted by fragment, each once, then summed."""
-    left = cut.select(F.col("_name").alias("_a"), "_fragment", F.col("_segment").alias("_s"))
-    right = cut.select(F.col("_name").alias("_b"), "_fragment", F.col("_segment").alias("_t"))
-    met = pairs.join(left, "_a").join(right, ["_b", "_fragment"])
+def similar_pairs(pairs: DataFrame, names: DataFrame, cut: DataFrame, similar: int) -> DataFrame:
+    """The pairs (_a, _b, _na, _nb) whose sets are similar: overlaps counted by fragment, each once, then summed. The
+    names of pairs are turned into hashes, not those of the sets, which are larger."""
+    by = lambda x: names.select(F.col("_name").alias(f"_{x}"), F.col("_h").alias(f"_h{x}"), F.col("_g").alias(f"_g{x}"))
+    left = cut.select(F.col("_h").alias("_ha"), F.col("_g").alias("_ga"), "_fragment", F.col("_segment").alias("_s"))
+    right = cut.select(F.col("_h").alias("_hb"), F.col("_g").alias("_gb"), "_fragment", F.col("_segment").alias("_t"))
+    met = pairs.join(by("a"), "_a").join(by("b"), "_b").join(left, ["_ha", "_ga"]).join(right, ["_hb", "_gb", "_fragment"])
     partial = met.select("_a", "_b", "_na", "_nb", "_fragment", F.size(F.array_intersect("_s", "_t")).cast("long").alias("_o"))
     counts = partial.groupBy("_a", "_b", "_na", "_nb").agg(*[F.max(F.when(F.col("_fragment") == f, F.col("_o")).otherwise(0)).alias(f"_o{f}") for f in range(FRAGMENTS)])
     total = counts.withColumn("_o", sum((F.col(f"_o{f}") for f in range(1, FRAGMENTS)), F.col("_o0")))
@@ -228,7 +230,7 @@ def compared(docs: DataFrame, names: DataFrame, found: DataFrame, met: DataFrame
     """Staged: the similar ones (_a, _b) of the pairs in `met` (_name, _size, _other, _other_size)."""
     pairs = staged(ordered_pairs(met), "ngram-pairs")
     near = staged(promising_pairs(pairs, found, similar), "ngram-near")
-    return staged(similar_pairs(near, segments(docs, names, near, id_col, text_col, words), similar), "ngram-links")
+    return staged(similar_pairs(near, names, segments(docs, names, near, id_col, text_col, words), similar), "ngram-links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: int = SIMILAR, leading: float = LEADING) -> DataFrame:
