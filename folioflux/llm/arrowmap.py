@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -16,13 +16,19 @@ from folioflux.llm.wordarrays import slices
 SliceFunction = Callable[[np.ndarray, np.ndarray, pa.Array], list[pa.Array]]
 
 
-def packed(docs: DataFrame, text: Column, columns: list[str] | None = None) -> DataFrame:
-    """_row, a struct of the columns asked for (all by default), and _text: new columns can then clash with none."""
-    row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if columns is None else columns)])
-    return docs.select(row.alias("_row"), text.alias("_text"))
+def packed(docs: DataFrame, text: str, columns: list[str] | None = None) -> tuple[DataFrame, Callable[[pa.RecordBatch], pa.Array]]:
+    """_row, a struct of the columns asked for (all by default): new columns can then clash with none. And a function that
+    takes the column `text` out of a batch: from the struct where it is one of those columns, so that texts are sent
+    once, else from a column of its own."""
+    names = docs.columns if columns is None else columns
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row")
+    if text in names:
+        at = names.index(text)
+        return docs.select(row), lambda batch: batch.column(0).field(at)
+    return docs.select(row, F.col(f"`{text}`").alias("_text")), lambda batch: batch.column(1)
 
 
-def map_texts(docs: DataFrame, text: Column, fields: str, make: Callable[[], SliceFunction], columns: list[str] | None = None) -> DataFrame:
+def map_texts(docs: DataFrame, text: str, fields: str, make: Callable[[], SliceFunction], columns: list[str] | None = None) -> DataFrame:
     """_row and the fields (DDL) that the function made by `make`, once a task, gives for each text; null texts are empty.
 
     Rows stay in their partition and order; at most one Arrow batch and one slice of it are in memory.
@@ -32,10 +38,11 @@ def map_texts(docs: DataFrame, text: Column, fields: str, make: Callable[[], Sli
         work = None
         for batch in batches:
             work = work or make()
-            for at, to, data, offsets in slices(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), *work(data, offsets, batch.column(1).slice(at, to - at))], names=names)
+            texts = text_in(batch)
+            for at, to, data, offsets in slices(texts):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), *work(data, offsets, texts.slice(at, to - at))], names=names)
 
-    rows = packed(docs, text, columns)
+    rows, text_in = packed(docs, text, columns)
     schema = rows.select("_row").schema
     for field in StructType.fromDDL(fields).fields:
         schema = schema.add(field)

@@ -21,7 +21,7 @@ WINDOW = 10
 #: Bytes of benchmark text compiled and broadcast at a time; more items are searched for in further passes.
 BENCHMARK_BYTES = 8_000_000
 #: A shard is closed at so many symbols, or so many bytes of documents that wait for it.
-SHARD_SYMBOLS, SHARD_BYTES = 1 << 18, 24_000_000
+SHARD_SYMBOLS, SHARD_BYTES = 1 << 18, 12_000_000
 #: Symbols of one index; those of a larger shard, as of one very long text, go into several that overlap.
 INDEX_SYMBOLS = 1 << 19
 
@@ -155,9 +155,11 @@ class Shard:
                 new = np.concatenate([[True], (np.diff(covered) > 1) | (np.diff(text["doc"][covered]) != 0)])
                 first, last = covered[new], covered[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(covered) - 1]])]
                 spans = (text["doc"][first], text["word"][first], text["word"][last], text["start"][first], text["end"][last])
-            n = np.diff(p.item_bounds)[window]
-            item = p.item_of[np.repeat(p.item_bounds[window], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
-            pairs = np.unique(np.stack([np.repeat(text["doc"][place], n), item], axis=1), axis=0)
+            # each window once a document, before the items that share it
+            met = np.unique(np.stack([text["doc"][place], window], axis=1), axis=0)
+            n = np.diff(p.item_bounds)[met[:, 1]]
+            item = p.item_of[np.repeat(p.item_bounds[met[:, 1]], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
+            pairs = np.unique(np.stack([np.repeat(met[:, 0], n), item], axis=1), axis=0)
         bounds = lambda of: pa.array(np.searchsorted(of, np.arange(docs + 1)), type=pa.int32())
         names = pa.array([p.names[k] for k in pairs[:, 1]], type=pa.string())
         if spans is None:
@@ -171,9 +173,11 @@ class Shard:
         ]
 
 
-def search(docs: DataFrame, phrases: Phrases | None, text: Column, columns: list[str] | None = None) -> DataFrame:
-    """_row and FIELDS for each row of `docs`, searched for one set of phrases."""
-    rows = packed(docs, text, columns)
+def search(docs: DataFrame, phrases: Phrases | None, text: str, columns: list[str] | None = None) -> DataFrame:
+    """_row and FIELDS for each row of `docs`, searched for one set of phrases. `text` is a column, or row.name where the
+    text is a field of the column row: texts are then sent once."""
+    whole, _, inner = text.partition(".")
+    rows, text_in = packed(docs, whole, columns)
     schema = rows.select("_row").schema
     for field in StructType.fromDDL(FIELDS).fields:
         schema = schema.add(field)
@@ -190,7 +194,8 @@ def search(docs: DataFrame, phrases: Phrases | None, text: Column, columns: list
                 done += len(row)
 
         for batch in batches:
-            for at, to, data, offsets in slices(batch.column(1)):
+            texts = text_in(batch).field(inner) if inner else text_in(batch)
+            for at, to, data, offsets in slices(texts):
                 shard.add(data, offsets)
                 waiting.append(batch.column(0).slice(at, to - at))
                 size += len(data)
@@ -224,11 +229,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     size = known.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     passes = max(1, -(-size // benchmark_bytes))
     part = known.withColumn("part", F.expr(f"pmod(xxhash64(item, text), {passes})"))
-    state = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns or docs.columns]).alias("row"), F.col(text_col).alias("t"))
+    names = columns or docs.columns
+    inside = text_col in names and "." not in text_col
+    state = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *([] if inside else [F.col(f"`{text_col}`").alias("t")]))
     for k in range(passes):
         items = part.where(F.col("part") == k).select("item", "text").collect()
         carried = [c for c in state.columns if c != "t" or k < passes - 1]
-        found = search(state, compile_phrases(sorted((r.item, r.text) for r in items), window), F.col("t"), carried)
+        found = search(state, compile_phrases(sorted((r.item, r.text) for r in items), window), f"row.{text_col}" if inside else "t", carried)
         state = _merged(found, carried) if k else found.select(*[f"_row.{c}" for c in carried], "n_words", "n_hit", "items", "spans")
     return state.select(F.col("row").alias("_row"), "n_words", "n_hit", F.array_sort(F.array_distinct("items")).alias("items"), "spans")
 

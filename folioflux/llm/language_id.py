@@ -225,7 +225,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return rows
 
     fields = ", ".join(f"{c} array<int>" for c in ("f0", "f1", "f2", "f3", "f4", "gram", "size"))
-    got = map_texts(picked, F.col("_t"), fields, make, ["_id", "_lang"]).select("_row._id", "_row._lang", "f0", "f1", "f2", "f3", "f4", "gram", "size").toArrow()
+    got = map_texts(picked, "_t", fields, make, ["_id", "_lang"]).select("_row._id", "_row._lang", "f0", "f1", "f2", "f3", "f4", "gram", "size").toArrow()
     got = got.sort_by([("_id", "ascending"), ("_lang", "ascending")])
     column = lambda c: [np.asarray(x.values) for x in got[c]]
     features = list(zip(*(column(f"f{i}") for i in range(5)), strict=True))
@@ -283,7 +283,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", columns: lis
         return rows
 
     fields = "lang_pred string, score double" + (", spans array<struct<lang:string,first_word:long,last_word:long>>" if spans else "")
-    return map_texts(docs, F.col(text_col), fields, make, columns)
+    return map_texts(docs, text_col, fields, make, columns)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

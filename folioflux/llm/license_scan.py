@@ -230,7 +230,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, text
         index = held.value
         return lambda data, offsets, texts: [scan_slice(index, data, offsets, coverage)]
 
-    return map_texts(docs, F.col(text_col), FIELDS, make, columns)
+    return map_texts(docs, text_col, FIELDS, make, columns)
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -200,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
         return rows
 
-    got = map_texts(picked, F.col("_t"), "whole array<int>, head array<int>", make, ["_id", "_y", "_lang"]).select("_row._id", "_row._y", "_row._lang", "whole", "head").toArrow()
+    got = map_texts(picked, "_t", "whole array<int>, head array<int>", make, ["_id", "_y", "_lang"]).select("_row._id", "_row._y", "_row._lang", "whole", "head").toArrow()
     got = got.sort_by([("_id", "ascending")]) if got.num_rows else got
     y = got["_y"].to_numpy().astype(np.int64) if got.num_rows else np.zeros(0, dtype=np.int64)
     rows = [[np.asarray(x.values) for x in got[c]] for c in ("whole", "head")] if got.num_rows else [[], []]
@@ -234,7 +234,7 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text", columns:
 
         return rows
 
-    return map_texts(docs, F.col(text_col), "score double", make, columns)
+    return map_texts(docs, text_col, "score double", make, columns)
 
 
 def threshold_of(model: Model, lang: Column) -> Column:
