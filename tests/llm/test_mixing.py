@@ -39,16 +39,37 @@ def test_targets_caps_and_reruns(spark):
 
 
 def test_schedule_is_even_throughout(spark):
-    needs = spark.createDataFrame([(1, 100.0, 100), (2, 300.0, 300), (3, 600.0, 600), (4, 1.0, 1)], "_index int, _target double, _need long")
+    needs = spark.createDataFrame([(1, 100), (2, 300), (3, 600), (4, 1)], "_index int, _need long")
     rows = sorted(tuple(r) for r in m.schedule(needs, 1001).collect())
     seen = Counter()
     for slot, index, rank in rows:
-        assert rank == seen[index]
         seen[index] += 1
         if 100 <= slot < 1000:
             n = sum(seen.values())
             assert abs(seen[1] - n * 0.1) < 6 and abs(seen[3] - n * 0.6) < 6
     assert seen == {1: 100, 2: 300, 3: 600, 4: 1}
+    for index, n in seen.items():
+        assert sorted(r for _, i, r in rows if i == index) == list(range(n))
+
+
+def test_many_small_sources_are_spread(spark):
+    needs = spark.createDataFrame([(1, 2000)] + [(i, 1) for i in range(2, 402)], "_index int, _need long")
+    rows = m.schedule(needs, 2400).collect()
+    small = sorted(r["_slot"] for r in rows if r["_index"] > 1)
+    assert len(rows) == 2400 and len(small) == 400
+    for part in range(4):  # a quarter of the mix has about a quarter of them
+        assert 60 <= sum(part * 600 <= s < (part + 1) * 600 for s in small) <= 160
+
+
+def test_the_sequence_decides_the_order(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "w " * 40, f"s{i % 3}") for i in range(200)], "doc_id long, text string, source string")
+    order = lambda: {r.doc_id: r.first_slot for r in m.mix_sources(docs, block=64).collect()}
+    first = order()
+    third = [s for s in first.values() if s is not None and s < 40]
+    assert len({k % 3 for k, s in first.items() if s is not None and s < 40}) == 3 and third
+    monkeypatch.setattr(m, "GOLDEN", 1)
+    other = order()
+    assert first != other and {k for k, s in first.items() if s is None} == {k for k, s in other.items() if s is None}
 
 
 def test_empty_and_wordless(spark):
