@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflux.llm.common import text_of
-from folioflux.llm.spans import place_matches
+from folioflux.llm.spans import overlaps, place_matches
 from folioflux.sources.tables import load
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)"""
@@ -93,12 +93,9 @@ def ratio_of(token: Column, ratios: list[float]) -> Column:
     """The log-likelihood ratio of a token: its characters' transitions, summed."""
     table = F.expr("cast(split('" + ",".join(f"{x:.5f}" for x in ratios) + "', ',') as array<double>)")
     size = len(ALPHABET) + 1
-    code = lambda i: F.instr(F.lit(ALPHABET), F.substring(token, i, F.lit(1)))
-    return F.aggregate(
-        F.sequence(F.lit(1), F.length(token)),
-        F.lit(0.0),
-        lambda total, i: total + F.element_at(table, F.when(i > 1, code(i - 1)).otherwise(0) * size + code(i) + 1),
-    )
+    codes = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    pairs = F.flatten(F.transform(F.array(codes), lambda c: F.transform(c, lambda b, i: F.coalesce(F.get(c, i - 1), F.lit(0)) * size + b + 1)))
+    return F.aggregate(pairs, F.lit(0.0), lambda total, k: total + F.element_at(table, k))
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ratios: list[float] | None = None, odds: float = ODDS) -> DataFrame:
@@ -110,7 +107,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     `ratios` is transition_ratios() of a labelled sample; by default the built-in one is fitted, once per application.
 
     Everything is an expression on the row: no shuffle, so no key can be hot, and the whole text is searched whatever
-    its length. Null and empty texts give empty arrays; rows with null or repeated ids are rows of their own.
+    its length; work grows as n * sqrt(n) with the matches of one text and in proportion with a token's length. An empty
+    table gives no rows, and columns beside the two named are not read. Null and empty texts give empty arrays; rows with null or repeated ids are rows of their own.
     """
     if ratios is None:
         ratios = list(_built_in(docs.sparkSession.sparkContext.applicationId))
@@ -118,16 +116,22 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     long_enough = lambda x: F.length(x["group"]) >= 6
     as_span = lambda rank: lambda x: F.struct(x["at"].alias("at"), F.lit(rank).alias("rank"), F.lit(KINDS[rank]).alias("kind"), (x["at"] + F.length(x["match"])).alias("end"))
     text = F.col("_text")
-    kinds = [
-        F.transform(F.filter(place_matches(text, ASSIGN, 2), long_enough), as_span(0)),
-        F.transform(place_matches(text, ACCESS), as_span(1)),
-        F.transform(place_matches(text, HEX), as_span(2)),
-    ]
-    found = base.select("_id", "_text", F.array_sort(F.concat(*kinds)).alias("base_spans"))
-    clear = lambda x: ~F.exists("base_spans", lambda b: (b["at"] < x["at"] + F.length(x["match"])) & (x["at"] < b["end"]))
+    kinds = {
+        "_assign": F.transform(F.filter(place_matches(text, ASSIGN, 2), long_enough), as_span(0)),
+        "_access": F.transform(place_matches(text, ACCESS), as_span(1)),
+        "_hex": F.transform(place_matches(text, HEX), as_span(2)),
+    }
+    found = base.select("_id", "_text", *[spans.alias(name) for name, spans in kinds.items()])
     odd = lambda x: ratio_of(x["match"], ratios) >= odds
+
+    def clear(x):
+        end = x["at"] + F.length(x["match"])
+        met = [overlaps(F.col(name), x["at"], end) for name in kinds]
+        return ~(met[0] | met[1] | met[2])
+
     random = F.transform(F.filter(F.filter(place_matches(text, TOKEN), clear), odd), as_span(3))
-    return found.select(F.col("_id").alias(id_col), "base_spans", F.array_sort(F.concat("base_spans", random)).alias("spans"))
+    both = found.select("_id", F.array_sort(F.concat(*kinds)).alias("base_spans"), random.alias("_random"))
+    return both.select(F.col("_id").alias(id_col), "base_spans", F.array_sort(F.concat("base_spans", "_random")).alias("spans"))
 
 
 def span_text(spans: Column) -> Column:

@@ -1,7 +1,8 @@
 import hashlib
 import re
+import time
 
-from folioflux.llm.secret_scan import find_secrets, op5_secret_scan, span_text
+from folioflux.llm.secret_scan import ALPHABET, ODDS, find_secrets, op5_secret_scan, span_text, training_samples, transition_ratios
 from folioflux.sources.tables import load
 
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -48,14 +49,39 @@ def test_random_tokens_are_told_from_identifiers(spark):
     assert not [t for i, t in enumerate(secret + plain) if i >= 50 and i in found]
 
 
+def all_spans(text, ratios):
+    """Base spans, and the tokens apart from them whose transitions add up to the odds."""
+    base, out = base_of(text), []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text or ""):
+        codes = [ALPHABET.index(c) + 1 for c in m[0]]
+        total = sum(ratios[a * (len(ALPHABET) + 1) + b] for a, b in zip([0, *codes], codes, strict=False))
+        if total >= ODDS and not any(a < m.end() and m.start() < b for a, _, _, b in base):
+            out.append((m.start(), 3, "random", m.end()))
+    return sorted(base + out)
+
+
+def test_many_matches_and_long_tokens_in_one_text(spark):
+    """10^5 matches in one text, and tokens of 10^6 characters."""
+    texts = ["token=abcdef12 " * 100_000, "x" * 1_000_000, "aB3" * 330_000, "AKIA" * 200_000, "0123456789abcdef" * 60_000, "secret" + " " * 1_000_000, "customer_address_count_update " * 30_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    begin = time.time()
+    got = {r.doc_id: (r.n, r.last) for r in find_secrets(docs).selectExpr("doc_id", "size(base_spans) as n", "try_element_at(base_spans, -1).end as last").collect()}
+    assert time.time() - begin < 120
+    for i, t in enumerate(texts):
+        base = base_of(t)
+        assert got[i] == (len(base), base[-1][3] if base else None)
+
+
 def test_query_on_the_table(spark, sf_dir):
     texts = {r.doc_id: r.text for r in load(spark, sf_dir, "documents").collect()}
+    ratios = [round(x, 5) for x in transition_ratios(training_samples(spark))]
     rows = op5_secret_scan(spark, sf_dir).collect()
     assert len(rows) == len(texts)
     for r in rows:
         base = base_of(texts[r.doc_id])
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == i for _, k, _, _ in base) for i in range(3))
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, k, b in base).encode()).hexdigest()
+        assert r.spans == ",".join(f"{k}:{a}:{b}" for a, _, k, b in all_spans(texts[r.doc_id], ratios))
 
 
 def test_empty_table(spark):
