@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from folioflux.llm.common import text_of
 from folioflux.sources.tables import load
 
-#: Patterns by kind, tried in this order at each place; a match counts only if it is also valid (see `_kind`).
+#: Patterns by kind, tried in this order at each place; a match counts only if it is also valid (see `_kind`). Repeated
+#: groups are bounded (a host has 127 labels of 63 characters at most): the pattern matcher goes one call deeper for each.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,}",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -291,7 +292,8 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_<kind> for each kind, text with pseudonyms, for every row of documents."""
-    done = pseudonymise(load(spark, sf_dir, "documents"), key="op2")
+    """doc_id, n_<kind> for each kind, text with pseudonyms, for every row of documents. The key is the session's setting
+    spark.folioflux.pii.key; without one, as in tests, a fixed word."""
+    done = pseudonymise(load(spark, sf_dir, "documents"), key=spark.conf.get("spark.folioflux.pii.key", "op2"))
     counts = [F.expr(f"size(filter(found, x -> x.kind = '{kind}'))").cast("long").alias(f"n_{kind}") for kind in PATTERNS]
     return done.select("doc_id", *counts, "text")

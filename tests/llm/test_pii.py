@@ -99,3 +99,12 @@ def test_cards_beside_other_numbers(spark):
     assert [x.kind for x in got[5].found] == ["card", "card", "date"] and "2024-01-02" not in got[5].text and got[5].text.startswith("7 ")
     assert [x.kind for x in got[6].found] == ["card"] and got[6].text.endswith("-2024-01-02") and len(got[9].found) == 2
     assert shape(got[7].text) == shape(texts[7])
+
+
+def test_long_repeats_of_the_patterns(spark):
+    """Long repeats of what a pattern begins with: no match may go deeper with the length of a text."""
+    n = 300_000
+    texts = ["x@" + "a." * 2000 + "com", "x@" + "a." * (n // 2) + "com", "x@" + "a" * n, "a.b" * (n // 3) + "@c.de", "1." * (n // 2), "DE44" + " ABCD" * (n // 5), "(555) " * (n // 6), "x" * n]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n for r in pii.pseudonymise(docs, "k").selectExpr("doc_id", "length(text) as n").collect()}
+    assert all(abs(got[i] - len(t)) <= 2 for i, t in enumerate(texts))
