@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,12 +15,19 @@ NON_BLANK = r"[^ \x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset, as in tests, a temporary folder of this machine."""
+    """The folder in spark.checkpoint.dir. Where it is unset, as in tests, a local session gets a temporary folder; on a
+    cluster that would be another disk for each executor, so it is an error there."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="folioflux-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _local_dir(spark.sparkContext.applicationId)
+
+
+@cache
+def _local_dir(app: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix="folioflux-")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

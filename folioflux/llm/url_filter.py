@@ -11,8 +11,8 @@ from folioflux.sources.tables import load
 #: (verdict, host and path) of the query's rules.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 LINK = r"""(?i)href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/"'?#>\s]+)"""
-#: Share of a score that is passed on along edges, and rounds of passing.
-DAMPING, ROUNDS = 0.85, 10
+#: Share of a score that is passed on along edges, and the share of all scores below which a round's changes end the spread.
+DAMPING, TOLERANCE = 0.85, 1e-4
 #: A host is blocked when its distrust is over this many times its trust.
 MARGIN = 1.0
 
@@ -39,24 +39,29 @@ def host_edges(pages: DataFrame, host: str, html: str) -> DataFrame:
     return named.groupBy("_src", "_dst").agg(F.count("*").cast("double").alias("_n"))
 
 
-def spread(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """_host, _score: personalised PageRank from `seeds` (_host, _seed) along `edges` (_src, _dst, _n).
+def spread(seeds: DataFrame, hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """_host, _score: personalised PageRank from `seeds` (_host, _seed) along `edges` (_src, _dst, _n), for `hosts` (_host).
 
-    Each round a host passes damping times its score on along its links, by their counts, and seeds get the rest of the
-    walk. Rounds are staged, so that a lost executor costs one round; the join is on the sender, whose many links AQE
-    may split, and sums are partial before the shuffle.
+    Each round a host passes damping times its score on along its links, by their counts, and seeds get the rest; a walk
+    ends at a host without links. Scores are in units of a seed and add up over seeds, so what a seed passes on does not
+    depend on how many others there are. Rounds go on until the changes of all hosts together are below `tolerance` of
+    the seeds' sum, which the damping brings about within log(tolerance) / log(damping) rounds. Rounds are staged, so that
+    a lost executor costs one round; the join is on the sender, whose many links AQE may split, and sums are partial
+    before the shuffle.
     """
     total = seeds.agg(F.sum("_seed")).first()[0] or 0.0
-    base = staged(seeds.select("_host", (F.col("_seed") / (total or 1.0) * (1 - damping)).alias("_score")), "url-seeds")
+    base = hosts.select("_host").join(seeds.select("_host", "_seed"), "_host", "left").select("_host", (F.coalesce("_seed", F.lit(0.0)) * (1 - damping)).alias("_base"))
+    score = staged(base.withColumn("_score", F.col("_base")), "url-seeds")
     out = edges.groupBy("_src").agg(F.sum("_n").alias("_out"))
-    steps = staged(edges.join(out, "_src").select("_src", "_dst", (F.col("_n") / F.col("_out")).alias("_p")), "url-steps")
-    if not total or not steps.take(1):
-        return base
-    score = base
-    for k in range(rounds):
-        moved = steps.join(score, F.col("_src") == F.col("_host")).select(F.col("_dst").alias("_host"), (F.col("_score") * F.col("_p") * damping).alias("_score"))
-        score = staged(base.unionByName(moved).groupBy("_host").agg(F.sum("_score").alias("_score")), f"url-round-{k}")
-    return score
+    steps = staged(edges.join(out, "_src").select("_src", "_dst", (F.col("_n") / F.col("_out") * damping).alias("_p")), "url-steps")
+    turn, change = 0, 1.0 if total and steps.take(1) else 0.0
+    while change > tolerance:
+        moved = steps.join(score, F.col("_src") == F.col("_host")).groupBy("_dst").agg(F.sum(F.col("_score") * F.col("_p")).alias("_in"))
+        new = score.join(moved, F.col("_host") == F.col("_dst"), "left").select("_host", "_base", (F.col("_base") + F.coalesce("_in", F.lit(0.0))).alias("_score"), F.col("_score").alias("_old"))
+        new = staged(new, f"url-round-{turn}")
+        change = new.agg(F.sum(F.abs(F.col("_score") - F.col("_old")))).first()[0] / total
+        score, turn = new.drop("_old"), turn + 1
+    return score.select("_host", "_score")
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", html_col: str = "html", columns: list[str] | None = None, margin: float = MARGIN) -> DataFrame:
@@ -69,7 +74,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", html_c
     whose distrust is over `margin` times its trust is blocked. A host that neither reaches is allowed.
 
     Null urls and urls without `://` have an empty host and path, which no rule fits, and are allowed; null html has no
-    links. Links are counted per pair of hosts before the shuffle; the graph stays distributed. The last join, from
+    links; an empty table gives no rows. Links are counted per pair of hosts before the shuffle; the graph stays distributed. The last join, from
     pages to hosts, may be split by AQE where one host has many pages. Repeated rows are judged each.
     """
     host, path = host_and_path(F.col(url_col))
@@ -86,9 +91,10 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", html_c
     )
     shares = staged(counted.join(hosts, "_host").select("_host", (F.col("_allow") / F.col("_pages")).alias("_a"), (F.col("_block") / F.col("_pages")).alias("_b")), "url-shares")
     edges = staged(host_edges(pages.withColumn("_from", host), "_from", html_col), "url-edges")
-    trust = spread(shares.where("_a >= 0.5").select("_host", F.col("_a").alias("_seed")), edges)
+    nodes = staged(hosts.select("_host").union(edges.select("_dst")).distinct(), "url-nodes")
+    trust = spread(shares.where("_a >= 0.5").select("_host", F.col("_a").alias("_seed")), nodes, edges)
     against = edges.select(F.col("_dst").alias("_src"), F.col("_src").alias("_dst"), "_n")
-    distrust = spread(shares.where("_b >= 0.5").select("_host", F.col("_b").alias("_seed")), against)
+    distrust = spread(shares.where("_b >= 0.5").select("_host", F.col("_b").alias("_seed")), nodes, against)
     known = hosts.join(fitting, "_host", "left").join(trust.withColumnRenamed("_score", "_trust"), "_host", "left").join(distrust.withColumnRenamed("_score", "_distrust"), "_host", "left")
     table = staged(known.select("_host", "_rules", F.coalesce("_trust", F.lit(0.0)).alias("_trust"), F.coalesce("_distrust", F.lit(0.0)).alias("_distrust")), "url-table")
     done = judged(named.join(table, F.col("_page_host") == F.col("_host"), "left"))

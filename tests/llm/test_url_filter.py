@@ -19,18 +19,17 @@ def rule_of(url, rules):
     return max(fits, default=(0, None, None))[1:]
 
 
-def ranks(seeds, edges, rounds=u.ROUNDS, d=u.DAMPING):
-    total = sum(seeds.values())
-    base = {h: s / total * (1 - d) for h, s in seeds.items()} if total else {}
-    out = {}
+def ranks(seeds, edges, d=u.DAMPING, tolerance=u.TOLERANCE):
+    total, out = sum(seeds.values()), {}
     for (a, _), n in edges.items():
         out[a] = out.get(a, 0) + n
-    score = dict(base)
-    for _ in range(rounds if edges else 0):
+    base = {h: s * (1 - d) for h, s in seeds.items()}
+    score, change = dict(base), 1
+    while total and edges and change > tolerance:
         new = dict(base)
         for (a, b), n in edges.items():
-            if a in score:
-                new[b] = new.get(b, 0) + score[a] * n / out[a] * d
+            new[b] = new.get(b, 0) + d * score.get(a, 0) * n / out[a]
+        change = sum(abs(v - score.get(h, 0)) for h, v in new.items()) / total
         score = new
     return score
 
@@ -87,3 +86,28 @@ def test_graph_against_brute_force(spark):
 def test_query_on_the_table(spark, sf_dir):
     pages = [(r.page_id, r.url, r.html) for r in load(spark, sf_dir, "pages").collect()]
     assert sorted((tuple(r) for r in u.op8_url_filter(spark, sf_dir).collect()), key=repr) == brute(pages, u.RULES)
+
+
+def chain(n, seeds):
+    """A trusted host, links from one host to the next, and at the end one that a blocked host's mirror links to."""
+    pages = [(0, "http://s0.org/", '<a href="http://h1.net/">')]
+    pages += [(i, f"http://h{i}.net/", f'<a href="http://h{i + 1}.net/">') for i in range(1, n)]
+    return pages + [(1000 + i, f"http://t{i}.org/", "") for i in range(seeds)]
+
+
+def test_far_hosts_and_many_seeds(spark):
+    rules = spark.createDataFrame([("allow", "org/")], "verdict string, rule string")
+    trust = {}
+    for seeds in (0, 50):
+        pages = spark.createDataFrame(chain(16, seeds), "page_id long, url string, html string")
+        trust[seeds] = {r.host: r.trust for r in u.filter_urls(pages, rules).collect()}
+    assert trust[0]["h15.net"] > 0  # 15 links from the seed
+    assert abs(trust[0]["h5.net"] - trust[50]["h5.net"]) < 1e-9  # other seeds don't dilute it
+
+
+def test_tie_of_trust_and_distrust_is_allowed(spark):
+    pages = [(1, "http://good.org/", '<a href="http://mid.net/">'), (2, "http://mid.net/", '<a href="http://bad.com/de/">'), (3, "http://bad.com/de/", ""), (4, "http://long.net/", "<p>" * 200_000 + '<a href="http://bad.com/de/">')]
+    rules = spark.createDataFrame([("allow", "org/"), ("block", "com/de/")], "verdict string, rule string")
+    got = {r.host: (r.verdict, round(r.trust, 6), round(r.distrust, 6)) for r in u.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), rules).collect()}
+    assert got["long.net"][0] == "block"
+    assert got["mid.net"][0] == ("block" if got["mid.net"][2] > got["mid.net"][1] else "allow")
