@@ -43,11 +43,12 @@ def slugify(c: Column, limit: int = 60, default: str = "field") -> Column:
     return F.coalesce(F.nullif(F.substring(slug, 1, limit), F.lit("")), F.lit(default))
 
 
-def humanize_key(c: Column) -> Column:
-    """A field key as words: without a kv_ prefix, underscores as blanks, first letters upper case, acronyms all."""
-    acronyms = F.array(*[F.lit(x) for x in ("id", "po", "naics", "uei", "cage", "clin", "far", "url")])
-    words = F.split(F.regexp_replace(F.lower(c), "^kv_", ""), "_+")
-    return F.array_join(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.when(F.array_contains(acronyms, w), F.upper(w)).otherwise(F.initcap(w))), " ")
+def humanize_key(c: Column, prefix: str = "kv_", capitals: tuple[str, ...] = ("id", "url")) -> Column:
+    """A field key as words: without `prefix`, underscores as blanks, first letters upper case; the words in `capitals`,
+    which the caller's field names decide, in capitals."""
+    bare = F.when(F.startswith(F.lower(c), F.lit(prefix)), F.substring(c, F.lit(len(prefix) + 1), F.length(c))).otherwise(c)
+    words = F.filter(F.split(F.lower(bare), "_"), lambda w: w != "")
+    return F.array_join(F.transform(words, lambda w: F.when(w.isin(*capitals), F.upper(w)).otherwise(F.initcap(w))), " ")
 
 
 def snippet(text: Column, needle: str, radius: int = 120) -> Column:
@@ -64,11 +65,24 @@ def search_terms(c: Column, stop: tuple[str, ...] = ("the", "and", "for", "all",
 
 
 def page_range(c: Column) -> Column:
-    """struct<first, last> of "pages a-b", "pages a to b" or "pages a through b", else of "page n"; null without one."""
-    text = F.lower(F.coalesce(c, F.lit("")))
-    many = r"pages?\s+(\d+)\s*(?:-|to|through)\s*(\d+)"
-    number = lambda p, g: F.regexp_extract(text, p, g).try_cast("int")
-    return F.struct(F.coalesce(number(many, 1), number(r"page\s+(\d+)", 1)).alias("first"), F.coalesce(number(many, 2), number(r"page\s+(\d+)", 1)).alias("last"))
+    """struct<first, last>: the pages that a request names. The request is read as tokens (words, numbers, dashes): after
+    the first "pages" or "page" with a number behind it, that number, and a second one if a dash, "to" or "through" stands
+    between; "pages" asks for both. Null without one."""
+    tokens = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z]+|[0-9]+|-"), F.lit(0))
+
+    def read(t: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(t)), lambda i: F.get(t, i).isin("page", "pages") & F.get(t, i + 1).try_cast("int").isNotNull())
+
+        def pages(i: Column) -> Column:
+            first = F.get(t, i + 1).try_cast("int")
+            last = F.when(F.get(t, i + 2).isin("-", "to", "through"), F.get(t, i + 3).try_cast("int"))
+            one = F.when((F.get(t, i) == "page") | last.isNotNull(), first)
+            return F.struct(one.alias("first"), F.coalesce(last, one).alias("last"))
+
+        found = F.filter(F.transform(at, pages), lambda x: x["first"].isNotNull())
+        return F.struct(F.get(found, 0)["first"].alias("first"), F.get(found, 0)["last"].alias("last"))
+
+    return F.transform(F.array(tokens), read)[0]
 
 
 def intent(c: Column) -> Column:
@@ -82,26 +96,32 @@ def intent(c: Column) -> Column:
     )
 
 
+#: Shapes of values, the first that fits the whole value counts. An amount is currency by its sign or code, by two
+#: decimals, or by groups of three digits; so plain numbers are what is left.
+SHAPES = (
+    ("email", r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"),
+    ("phone", r"^(\+\d{1,3}[ .-]?)?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}$"),
+    ("percentage", r"^-?\d+(\.\d+)?\s*%$"),
+    ("currency", r"^\(?-?\s*([$€£¥]|(?i:USD|EUR|GBP|CAD|AUD))\s*-?\d[\d,]*(\.\d+)?\)?$"),
+    ("currency", r"^-?\d[\d,]*\.\d\d(\s*(?i:USD|EUR|GBP|CAD|AUD))?$"),
+    ("currency", r"^\(?-?\d{1,3}(,\d{3})+\)?$"),
+    ("date", r"^(\d{4}-\d{2}-\d{2}|\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{1,2}[ -][A-Za-z]{3,9}\.?[ -]\d{2,4}|[A-Za-z]{3,9}\.? \d{1,2},? \d{4})$"),
+    ("datetime", r"^(\d{4}-\d{2}-\d{2}|\d{1,2}[/-]\d{1,2}[/-]\d{2,4})[ T,]+\d{1,2}:\d{2}(:\d{2})?( ?[AaPp][Mm])?$"),
+    ("number", r"^-?\d[\d,]*(\.\d+)?$"),
+    ("boolean", r"^(?i:yes|no|true|false|y|n|x|checked|unchecked)$"),
+    ("address", r"^(.*\d+ \w+.* [A-Z]{2} \d{5}(-\d{4})?|.*(?i:P\.? ?O\.? Box) \d+.*)$"),
+    ("identifier", r"^([A-Za-z][A-Za-z#/._-]*\d|\d)[A-Za-z0-9#/._-]*$"),
+)
+
+
 def value_type(c: Column) -> Column:
-    """The shape of a value: the first of e-mail, phone, percent, currency, date, datetime, number, boolean, address,
-    identifier that fits the whole of it, else text."""
+    """The shape of a value, by SHAPES; identifiers have 3 to 41 characters; text if none fits."""
     v = F.trim(c)
-    rules = (
-        ("email", r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"),
-        ("phone", r"^(\+\d{1,2}[ .-]?)?\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}$"),
-        ("percent", r"^-?\d+(\.\d+)?\s*%$"),
-        ("currency", r"^[$€£]\s*\(?-?\d[\d,]*(\.\d+)?\)?$"),
-        ("date", r"^(\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4}|\d{1,2}\.\d{1,2}\.\d{4}|[A-Za-z]{3,9} \d{1,2}, \d{4})$"),
-        ("datetime", r"^(\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4})[ T]\d{1,2}:\d{2}(:\d{2})?( ?[AaPp][Mm])?$"),
-        ("number", r"^\(?-?\d[\d,]*(\.\d+)?\)?$"),
-        ("boolean", r"^(?i:yes|no|true|false|y|n)$"),
-        ("address", r"^\d+ [A-Za-z0-9 .]+ (?i:street|st|avenue|ave|road|rd|drive|dr|lane|ln|blvd|boulevard)\b.*$"),
-        ("identifier", r"^[A-Za-z]{0,6}[-/_]?\d[A-Za-z0-9/_-]*$"),
-    )
-    found = F.when(v.rlike(rules[0][1]), rules[0][0])
-    for name, pattern in rules[1:]:
-        found = found.when(v.rlike(pattern), name)
-    return found.otherwise("text")
+    found = F.lit("text")
+    for name, pattern in reversed(SHAPES):
+        fits = v.rlike(pattern)
+        found = F.when(fits & F.length(v).between(3, 41) if name == "identifier" else fits, name).otherwise(found)
+    return found
 
 
 def label_rejection(label: Column) -> Column:
@@ -156,5 +176,12 @@ def code_and_rest(c: Column) -> Column:
 
 
 def plural(c: Column) -> Column:
-    """English plural: es after s, x, ch, sh; ies for y after a consonant; s otherwise."""
-    return F.when(c.rlike("(s|x|ch|sh)$"), F.concat(c, F.lit("es"))).when(c.rlike("[^aeiou]y$"), F.regexp_replace(c, "y$", "ies")).otherwise(F.concat(c, F.lit("s")))
+    """The English plural of a label: as it is if it ends in s; ies for a y after a consonant; es after x, ch and sh; else s."""
+    last, two = F.lower(F.right(c, F.lit(1))), F.lower(F.right(c, F.lit(2)))
+    consonant_y = (last == "y") & (F.length(c) > 1) & ~F.substring(two, 1, 1).isin("a", "e", "i", "o", "u")
+    return (
+        F.when(last == "s", c)
+        .when(consonant_y, F.concat(F.substring(c, F.lit(1), F.length(c) - 1), F.lit("ies")))
+        .when((last == "x") | two.isin("ch", "sh"), F.concat(c, F.lit("es")))
+        .otherwise(F.concat(c, F.lit("s")))
+    )

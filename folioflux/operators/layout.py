@@ -60,7 +60,7 @@ def fused(primary: DataFrame, secondary: DataFrame, keys: list[str]) -> DataFram
     met = a.join(b, keys).withColumn("iou", iou("a_box", "b_box")).where("iou > 0")
     best = met.where("iou >= 0.6").withColumn("rn", F.row_number().over(Window.partitionBy(*keys, "a_word").orderBy(F.col("iou").desc(), "b_word"))).where("rn = 1").select(*keys, "a_word", "b_text", "b_confidence")
     kept = a.join(best, [*keys, "a_word"], "left").select(
-        *keys, F.col("a_box").alias("box"), F.when((F.col("a_text") == F.col("b_text")) | F.col("b_text").isNull(), F.col("a_text")).otherwise(F.col("a_text")).alias("text"),
+        *keys, F.col("a_box").alias("box"), F.col("a_text").alias("text"),
         F.when(F.col("b_text").isNull(), F.col("a_confidence")).when(F.col("a_text") == F.col("b_text"), F.greatest("a_confidence", "b_confidence")).otherwise(F.least("a_confidence", "b_confidence")).alias("confidence"),
     )
     added = b.join(met.where("iou >= 0.3").select(*keys, "b_word"), [*keys, "b_word"], "left_anti").select(*keys, F.col("b_box").alias("box"), F.col("b_text").alias("text"), F.col("b_confidence").alias("confidence"))

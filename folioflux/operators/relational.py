@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflux.session import checkpointed
+
 
 def scoped(df: DataFrame, owner_col: str, owner: str | None, everything: bool = False) -> DataFrame:
     """All rows for who may see everything, the owner's rows for an owner, none otherwise."""
@@ -33,18 +35,21 @@ def duplicate_groups(df: DataFrame, id_col: str, key: Column) -> DataFrame:
     return df.groupBy(key.alias("checksum")).agg(F.count("*").alias("n"), F.min(id_col).alias("first_id")).where("n > 1")
 
 
-def roots(edges: DataFrame, child: str, parent: str, max_depth: int = 64) -> DataFrame:
-    """child, root, depth: parents followed to the top by pointer doubling, log2(max_depth) joins whatever the tree's shape.
+def roots(edges: DataFrame, child: str, parent: str, deepest: int = 1 << 20) -> DataFrame:
+    """child, root, depth: parents followed to the top by pointer doubling; each turn is checkpointed and doubles what a
+    node has climbed, until no node climbs further, whatever the tree's depth.
 
-    A parent that is no child is a root. A node on a cycle has no root and is left out."""
-    at = edges.select(F.col(child).alias("node"), F.col(parent).alias("up"), F.when(F.col(parent).isNull(), 0).otherwise(1).alias("depth"))
+    A parent that is no child is a root. A node on a cycle, or under one, has no root and is left out: it still climbs
+    when the climb is longer than `deepest`, which no tree is."""
+    at = edges.select(F.col(child).alias("node"), F.col(parent).alias("up"), F.when(F.col(parent).isNull(), 0).otherwise(1).cast("long").alias("depth"), F.col(parent).isNotNull().alias("_open"))
     steps = 1
-    while steps <= max_depth:
+    while True:
         above = at.select(F.col("node").alias("_n"), F.col("up").alias("_u"), F.col("depth").alias("_d"))
         joined = at.join(above, F.col("up") == F.col("_n"), "left")
-        at = joined.select("node", F.coalesce("_u", "up").alias("up"), F.when(F.col("_u").isNotNull(), F.col("depth") + F.col("_d")).otherwise(F.col("depth")).alias("depth"))
+        at = checkpointed(joined.select("node", F.coalesce("_u", "up").alias("up"), F.when(F.col("_u").isNotNull(), F.col("depth") + F.col("_d")).otherwise(F.col("depth")).alias("depth"), F.col("_u").isNotNull().alias("_open")))
         steps *= 2
-    return at.where(F.col("depth") <= max_depth).select(F.col("node").alias(child), F.coalesce("up", "node").alias("root"), "depth")
+        if steps > deepest or not at.where("_open").take(1):
+            return at.where("not _open").select(F.col("node").alias(child), F.coalesce("up", "node").alias("root"), F.col("depth").cast("int").alias("depth"))
 
 
 def upsert_reviewed(existing: DataFrame, incoming: DataFrame, keys: list[str], value: str = "value", status: str = "status") -> DataFrame:

@@ -8,6 +8,7 @@ from folioflux.functions import text as tx
 from folioflux.functions import values as vx
 from folioflux.operators import relational as rel
 from folioflux.plans.catalog import query
+from folioflux.streaming import events as ev
 
 TODAY = "1998-06-01"
 
@@ -189,7 +190,7 @@ def hierarchy(t):
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     edges = t("region").select(name("r", "r_regionkey").alias("node"), F.lit(None).cast("string").alias("up"))
     edges = edges.union(t("nation").select(name("n", "n_nationkey"), name("r", "n_regionkey"))).union(t("customer").select(name("c", "c_custkey"), name("n", "c_nationkey")))
-    return rel.roots(edges, "node", "up", max_depth=4)
+    return rel.roots(edges, "node", "up")
 
 
 @query("portfolio_members", "SELECT n_regionkey AS root, count(*) AS members FROM (SELECT n_regionkey FROM nation UNION ALL SELECT r_regionkey FROM region) GROUP BY 1")
@@ -231,25 +232,30 @@ def audit_page(t):
     return page.join(t("customer").select("c_custkey", "c_name"), F.col("user_id") == F.col("c_custkey"), "left").select("event_id", F.coalesce("c_name", F.lit("Unknown document")).alias("name"))
 
 
-@query("confidence_score", """SELECT d.doc_id, CASE WHEN toxic = 1 THEN least(greatest(0.05, least(0.99, s)), 0.59) ELSE greatest(0.05, least(0.99, s)) END AS confidence FROM
-(SELECT d.doc_id, toxic, CASE WHEN quality = 1 THEN CAST(0.9 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END + CASE WHEN lang = 'en' THEN CAST(0.05 AS DOUBLE) ELSE 0 END + least(CAST(0.10 AS DOUBLE), (d.n_chars // 2000) * CAST(0.03 AS DOUBLE)) AS s
-FROM documents d JOIN labels USING (doc_id)) d""")
+@query("confidence_score", """SELECT doc_id, round(greatest(CAST(0.05 AS DOUBLE), least(CAST(0.99 AS DOUBLE), least(s, CASE WHEN toxic = 1 THEN CAST(0.59 AS DOUBLE) ELSE CAST(0.99 AS DOUBLE) END))), 2) AS confidence FROM
+(SELECT d.doc_id, toxic, CASE WHEN quality = 1 THEN CAST(0.82 AS DOUBLE) ELSE CAST(0.55 AS DOUBLE) END + CASE WHEN lang = 'en' THEN CAST(0.05 AS DOUBLE) ELSE 0 END + least(CAST(0.10 AS DOUBLE), (d.n_chars // 2000) * CAST(0.03 AS DOUBLE))
+- CASE WHEN source = 'src1' THEN CAST(0.25 AS DOUBLE) WHEN source = 'src2' THEN CAST(0.08 AS DOUBLE) ELSE 0 END + CASE WHEN n_chars >= 200 THEN CAST(0.05 AS DOUBLE) ELSE 0 END + CASE WHEN toxic = 1 THEN CAST(-0.20 AS DOUBLE) ELSE CAST(0.05 AS DOUBLE) END
+- CASE WHEN lang = 'fr' THEN CAST(0.15 AS DOUBLE) ELSE 0 END AS s FROM documents d JOIN labels USING (doc_id)) d""")
 def confidence_score(t):
     """The confidence model over labels."""
     j = t("documents").join(t("labels"), "doc_id")
-    base = F.when(F.col("quality") == 1, vx.METHOD_BASE["form_field"]).otherwise(vx.METHOD_BASE["inferred"])
-    return j.select("doc_id", vx.confidence(base, F.col("lang") == "en", F.floor(F.col("n_chars") / 2000) + 1, F.col("toxic") == 1).alias("confidence"))
+    base = vx.method_base(F.when(F.col("quality") == 1, "form_field").otherwise("ai"))
+    ocr = F.when(F.col("source") == "src1", False).when(F.col("source") == "src2", True)
+    score = vx.confidence(base, F.floor(F.col("n_chars") / 2000) + 1, F.col("lang") == "en", F.col("toxic") == 0, F.col("n_chars") >= 200, F.col("lang") == "fr", ocr=ocr)
+    return j.select("doc_id", score.alias("confidence"))
 
 
-@query("review_decision", """WITH r AS (SELECT doc_id, list_filter([CASE WHEN toxic = 1 THEN 'validation_failed' END, CASE WHEN n_chars < 500 THEN 'short_evidence' END, CASE WHEN lang <> 'en' THEN 'unsupported_language' END], lambda x: x IS NOT NULL) AS reasons,
-CASE WHEN quality = 1 THEN CAST(0.9 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS c FROM documents JOIN labels USING (doc_id))
-SELECT doc_id, array_to_string(reasons, ',') AS reasons, CASE WHEN len(reasons) = 0 AND c >= 0.85 THEN 'accepted' ELSE 'pending' END AS status, CASE WHEN c >= 0.85 THEN 'low' WHEN c >= 0.6 THEN 'medium' ELSE 'high' END AS priority FROM r""")
+@query("review_decision", """WITH r AS (SELECT doc_id, CASE WHEN quality = 1 THEN CAST(0.9 AS DOUBLE) WHEN n_chars > 2000 THEN CAST(0.7 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS c, toxic, lang, n_chars FROM documents JOIN labels USING (doc_id)),
+h AS (SELECT *, list_filter([CASE WHEN c < 0.6 THEN 'low_confidence' END, CASE WHEN toxic = 1 THEN 'validation_failed' END, CASE WHEN n_chars < 500 THEN 'not_source_grounded' END, CASE WHEN lang = 'fr' THEN 'ambiguous_candidates' END], lambda x: x IS NOT NULL) AS reasons FROM r)
+SELECT doc_id, array_to_string(reasons, ',') AS reasons, CASE WHEN len(reasons) = 0 THEN 'ready_to_accept' ELSE 'needs_review' END AS status,
+CASE WHEN len(reasons) = 0 THEN CASE WHEN c >= 0.85 THEN 'high' ELSE 'medium' END WHEN c < 0.6 OR toxic = 1 OR lang = 'fr' THEN 'low' ELSE 'medium' END AS priority,
+CASE WHEN len(reasons) = 0 AND c >= 0.85 THEN 'accepted' ELSE 'pending' END AS review_status FROM h""")
 def review_decision(t):
-    """Reasons to review, status and priority."""
+    """Reasons to review, status and priority, high confidence accepted by itself."""
     j = t("documents").join(t("labels"), "doc_id")
-    reasons = {"validation_failed": F.col("toxic") == 1, "short_evidence": F.col("n_chars") < 500, "unsupported_language": F.col("lang") != "en"}
-    r = vx.review(reasons, F.when(F.col("quality") == 1, 0.9).otherwise(0.5))
-    return j.select("doc_id", r.alias("r")).select("doc_id", F.array_join("r.reasons", ",").alias("reasons"), "r.status", "r.priority")
+    reasons = {"validation_failed": F.col("toxic") == 1, "not_source_grounded": F.col("n_chars") < 500, "ambiguous_candidates": F.col("lang") == "fr"}
+    c = F.when(F.col("quality") == 1, 0.9).when(F.col("n_chars") > 2000, 0.7).otherwise(0.5)
+    return j.select("doc_id", vx.review(reasons, c, auto_accept=True).alias("r")).select("doc_id", F.array_join("r.reasons", ",").alias("reasons"), "r.status", "r.priority", "r.review_status")
 
 
 @query("consensus", """SELECT l_orderkey, CAST(count(DISTINCT l_returnflag) AS BIGINT) AS n_values, CASE WHEN count(DISTINCT l_returnflag) > 1 THEN 'conflict' WHEN count(*) >= 3 THEN 'auto' ELSE 'low_confidence' END AS decision,
@@ -304,10 +310,11 @@ def qa_rollup(t):
     return known.join(found, "dataset", "left").select("dataset", n.alias("n"), flagged.alias("flagged"), F.when(n == 0, "NOT FOUND").when(flagged > 0, "REVIEW").otherwise("PASS").alias("status"))
 
 
-@query("stale_jobs", "SELECT event_type, count(*) AS n FROM events WHERE event_type <> 'purchase' AND ts < TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 30 MINUTES GROUP BY 1")
+@query("stale_jobs", "SELECT event_id, 'failed' AS status FROM events WHERE event_type <> 'purchase' AND ts < TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 30 MINUTES")
 def stale_jobs(t):
-    """Jobs that are still open after thirty minutes."""
-    return t("events").where("event_type <> 'purchase' and ts < timestamp'2024-01-30 00:00:00' - interval 30 minutes").groupBy("event_type").agg(F.count("*").alias("n"))
+    """Jobs that are still open after thirty minutes, as failed."""
+    jobs = t("events").select("event_id", F.when(F.col("event_type") == "purchase", "done").otherwise("processing").alias("status"), F.col("ts").alias("started_at"))
+    return ev.stale(jobs, "2024-01-30 00:00:00").select("event_id", "status")
 
 
 @query("document_summary", """SELECT d.doc_id, coalesce(l.n, 0) AS n_fields, coalesce(c.turns, 0) AS turns, greatest(d.n_chars, coalesce(c.longest, 0)) AS longest FROM documents d

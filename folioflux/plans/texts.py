@@ -9,6 +9,7 @@ from folioflux.functions import text as tx
 from folioflux.functions import values as vx
 from folioflux.operators import relational as rel
 from folioflux.plans.catalog import query
+from folioflux.sources import files
 
 TARGETS = {"greeting": ("hand", "and"), "article": ("the", "that", "this"), "loss": ("loser", "trash", "worthless")}
 FAMILIES = {"english": ("the", "and", "of the"), "german": ("und", "der", "die"), "french": ("les", "une", "de la"), "spanish": ("los", "por", "de los")}
@@ -49,25 +50,22 @@ def entity_extract(t):
     return e.select("doc_id", *[F.size(f"e.{k}").cast("long").alias(k) for k in ("emails", "phones", "money")])
 
 
-@query("value_types", r"""SELECT CASE WHEN regexp_matches(v, '^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$') THEN 'email' WHEN regexp_matches(v, '^(\+\d{1,2}[ .-]?)?\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}$') THEN 'phone'
-WHEN regexp_matches(v, '^-?\d+(\.\d+)?\s*%$') THEN 'percent' WHEN regexp_matches(v, '^[$€£]\s*\(?-?\d[\d,]*(\.\d+)?\)?$') THEN 'currency'
-WHEN regexp_matches(v, '^(\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4}|\d{1,2}\.\d{1,2}\.\d{4}|[A-Za-z]{3,9} \d{1,2}, \d{4})$') THEN 'date'
-WHEN regexp_matches(v, '^(\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4})[ T]\d{1,2}:\d{2}(:\d{2})?( ?[AaPp][Mm])?$') THEN 'datetime' WHEN regexp_matches(v, '^\(?-?\d[\d,]*(\.\d+)?\)?$') THEN 'number'
-WHEN regexp_matches(v, '^(?i:yes|no|true|false|y|n)$') THEN 'boolean' WHEN regexp_matches(v, '^\d+ [A-Za-z0-9 .]+ (?i:street|st|avenue|ave|road|rd|drive|dr|lane|ln|blvd|boulevard)\b.*$') THEN 'address'
-WHEN regexp_matches(v, '^[A-Za-z]{0,6}[-/_]?\d[A-Za-z0-9/_-]*$') THEN 'identifier' ELSE 'text' END AS kind, count(*) AS n
-FROM (SELECT trim(unnest(string_split(replace(text, chr(10), ' '), ' '))) AS v FROM documents) WHERE v <> '' GROUP BY 1""")
+@query("value_types", "SELECT CASE " + " ".join(f"WHEN regexp_matches(v, '{p}')" + (" AND length(v) BETWEEN 3 AND 41" if k == "identifier" else "") + f" THEN '{k}'" for k, p in tx.SHAPES) + """ ELSE 'text' END AS kind, CAST(sum(n) AS BIGINT) AS n
+FROM (SELECT v, count(*) AS n FROM (SELECT trim(unnest(string_split(replace(text, chr(10), ' '), ' '))) AS v FROM documents) WHERE v <> '' GROUP BY v) GROUP BY 1""")
 def value_types(t):
-    """Shapes of all tokens, counted."""
-    tokens = t("documents").select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("v")).where("trim(v) <> ''")
-    return tokens.groupBy(tx.value_type(F.col("v")).alias("kind")).agg(F.count("*").alias("n"))
+    """Shapes of all tokens, counted: each different token is classified once."""
+    tokens = t("documents").select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("v")).select(F.trim("v").alias("v")).where("v <> ''")
+    counts = tokens.groupBy("v").agg(F.count("*").alias("n"))
+    return counts.groupBy(tx.value_type(F.col("v")).alias("kind")).agg(F.sum("n").alias("n"))
 
 
-@query("label_rejection", r"""WITH l AS (SELECT trim(string_split(text, chr(10))[1]) AS v FROM documents)
+@query("label_rejection", r"""WITH l AS (SELECT trim(unnest(string_split(text, chr(10)))) AS v FROM documents)
 SELECT CASE WHEN v = '' THEN 'empty' WHEN regexp_matches(v, '\.{3,}\s*\d+$') THEN 'toc_entry' WHEN length(v) > 60 OR len(regexp_split_to_array(v, '\s+')) > 8 THEN 'too_long' WHEN NOT regexp_matches(v, '[A-Za-z]') THEN 'no_letters'
 WHEN regexp_matches(v, '[.!?]$') THEN 'prose' WHEN length(regexp_replace(v, '[^0-9]', '', 'g')) * 2 > length(v) THEN 'mostly_digits' END AS reason, count(*) AS n FROM l GROUP BY 1""")
 def label_rejection(t):
-    """Why first lines are no labels."""
-    return t("documents").groupBy(tx.label_rejection(F.get(F.split("text", "\n"), 0)).alias("reason")).agg(F.count("*").alias("n"))
+    """Why lines are no labels."""
+    lines = t("documents").select(F.explode(F.split("text", "\n")).alias("line"))
+    return lines.groupBy(tx.label_rejection(F.col("line")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 def _family_sql() -> str:
@@ -106,10 +104,10 @@ def slug_keys(t):
 
 
 @query("snippets", """SELECT doc_id, CASE WHEN strpos(lower(text), 'worthless') > 0 THEN substr(text, greatest(strpos(lower(text), 'worthless') - 120, 1), strpos(lower(text), 'worthless') + 129 - greatest(strpos(lower(text), 'worthless') - 120, 1))
-ELSE substr(text, 1, 240) END AS snippet FROM documents WHERE source = 'src1'""")
+ELSE substr(text, 1, 240) END AS snippet FROM documents""")
 def snippets(t):
     """Text around the first hit."""
-    return t("documents").where("source = 'src1'").select("doc_id", tx.snippet(F.col("text"), "worthless").alias("snippet"))
+    return t("documents").select("doc_id", tx.snippet(F.col("text"), "worthless").alias("snippet"))
 
 
 @query("date_parse", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders")
@@ -169,11 +167,10 @@ def intents(t):
     return t("conversations").groupBy(tx.intent(F.col("text")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("size_tiers", "SELECT CASE WHEN n_chars < 1000 THEN 'small' WHEN n_chars < 5000 THEN 'medium' WHEN n_chars <= 10000 THEN 'large' ELSE 'very_large' END AS tier, count(*) AS n FROM documents GROUP BY 1")
+@query("size_tiers", "SELECT CASE WHEN n_chars * 8192 < 10485760 THEN 'small' WHEN n_chars * 8192 < 52428800 THEN 'medium' WHEN n_chars * 8192 <= 104857600 THEN 'large' ELSE 'very_large' END AS tier, count(*) AS n FROM documents GROUP BY 1")
 def size_tiers(t):
-    """Documents by size."""
-    c = F.col("n_chars")
-    return t("documents").groupBy(F.when(c < 1000, "small").when(c < 5000, "medium").when(c <= 10000, "large").otherwise("very_large").alias("tier")).agg(F.count("*").alias("n"))
+    """Documents by upload size, 8 KB a character as a scan has them."""
+    return t("documents").groupBy(files.size_tier(F.col("n_chars") * 8192).alias("tier")).agg(F.count("*").alias("n"))
 
 
 @query("merged_targets", """SELECT event_type AS key, string_agg(DISTINCT CAST(hour(ts) AS VARCHAR), ',' ORDER BY CAST(hour(ts) AS VARCHAR)) AS pages, max(value) AS confidence, count(*) AS n FROM events GROUP BY 1""")

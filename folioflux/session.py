@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, app: str = "folioflux") -> SparkSession:
@@ -20,3 +22,13 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, app: str = "
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` checkpointed in the folder of spark.checkpoint.dir; where that is unset, a local session gets a temporary one."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="folioflux-"))
+    return df.checkpoint()

@@ -71,5 +71,5 @@ def suspicious_ratio(text: Column) -> Column:
 def ocr_reasons(chars: Column, words: Column, coverage: Column, suspicious: Column, images: Column) -> Column:
     """Why a page needs OCR, in order; none if it has text enough, and only blank_page if it has nothing at all."""
     blank = (chars == 0) & (images == 0)
-    rules = F.array(F.when(chars < 40, "few_characters"), F.when(words < 8, "few_words"), F.when((coverage < 0.02) & (chars < 200), "low_coverage"), F.when(suspicious > 0.15, "bad_glyphs"), F.when((images > 0.6) & (chars < 200), "image_page"))
+    rules = F.array(F.when(chars < 40, "few_characters"), F.when(words < 8, "few_words"), F.when((coverage < 0.002) & (chars < 200), "low_coverage"), F.when(suspicious > 0.15, "bad_glyphs"), F.when((images > 0.6) & (chars < 200), "image_page"))
     return F.when(blank, F.array(F.lit("blank_page"))).otherwise(F.filter(rules, lambda x: x.isNotNull()))
