@@ -40,19 +40,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def bitmap(keys: DataFrame, key: str, bits: int) -> DataFrame:
-    """The 64-bit hashes in column `key` as a bitmap of 2**bits bits: at most 2**(bits-6) rows (_w, _bits), whatever the
-    number of keys, so that it may be broadcast."""
+    """The 64-bit hashes in column `key` as a bitmap of 2**bits bits: at most 2**(bits-12) rows (_w, _bits) of 64 words of 64
+    bits, whatever the number of keys, so that it may be broadcast. Few rows with long arrays take a fifth of the memory
+    that a row for each word does."""
     slot = F.expr(f"pmod({key}, {1 << bits}L)")
-    return keys.select(slot.alias("_s")).groupBy(F.expr("cast(shiftright(_s, 6) as int)").alias("_w")).agg(
-        F.expr("bit_or(shiftleft(1L, cast(_s & 63 as int)))").alias("_bits")
-    )
+    words = keys.select(slot.alias("_s")).groupBy(F.expr("cast(shiftright(_s, 6) as int)").alias("_v")).agg(F.expr("bit_or(shiftleft(1L, cast(_s & 63 as int)))").alias("_bits"))
+    blocks = words.groupBy(F.expr("shiftright(_v, 6)").alias("_w")).agg(F.map_from_entries(F.collect_list(F.struct(F.expr("_v & 63").alias("k"), "_bits"))).alias("_m"))
+    return blocks.select("_w", F.expr("transform(sequence(0, 63), i -> coalesce(try_element_at(_m, i), 0L))").alias("_bits"))
 
 
 def flagged(df: DataFrame, key: str, found: DataFrame, bits: int, flag: str) -> DataFrame:
     """`df` with boolean `flag`: true for each row whose hash `key` is in the bitmap (and for the few that share a bit)."""
     slot = F.expr(f"pmod({key}, {1 << bits}L)")
-    at = df.withColumn("_s", slot).withColumn("_w", F.expr("cast(shiftright(_s, 6) as int)"))
-    hit = F.expr("coalesce((shiftright(_bits, cast(_s & 63 as int)) & 1L) = 1L, false)")
+    at = df.withColumn("_s", slot).withColumn("_w", F.expr("cast(shiftright(_s, 12) as int)"))
+    hit = F.expr("coalesce((shiftright(get(_bits, cast(shiftright(_s, 6) & 63 as int)), cast(_s & 63 as int)) & 1L) = 1L, false)")
     return at.join(F.broadcast(found), "_w", "left").withColumn(flag, hit).drop("_s", "_w", "_bits")
 
 

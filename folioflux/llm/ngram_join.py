@@ -81,9 +81,9 @@ def frequent_bits(counts: DataFrame, frequent: int, most: int, bits: int) -> Dat
     """One row: _words, 2**bits bits in 64-bit words, set at the low bits of the frequent n-grams. An n-gram that shares
     its low bits with one of them goes last as well: any order will do, if it is the same for all."""
     top = counts.where(F.col("_n") >= frequency_bound(counts, frequent, most))
-    slots = counts.sparkSession.range(1 << (bits - 6)).select(F.col("id").cast("int").alias("_w"))
-    filled = slots.join(bitmap(top, "_x", bits), "_w", "left").select("_w", F.coalesce("_bits", F.lit(0).cast("long")).alias("_bits"))
-    return filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("_w", "_bits"))), lambda x: x["_bits"]).alias("_words"))
+    blocks = counts.sparkSession.range(1 << (bits - 12)).select(F.col("id").cast("int").alias("_w"))
+    filled = blocks.join(bitmap(top, "_x", bits), "_w", "left").select("_w", F.coalesce("_bits", F.array_repeat(F.lit(0).cast("long"), 64)).alias("_bits"))
+    return filled.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_w", "_bits"))), lambda x: x["_bits"])).alias("_words"))
 
 
 def leading_parts(docs: DataFrame, counts: DataFrame, id_col: str, text_col: str, words: int, similar: int, leading: float) -> DataFrame:
