@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioflux.llm import decontamination, exact_dedup, filter_audit, language_id, license_scan, mixing, ngram_join, pii, secret_scan, token_alignment, toxicity, url_filter
+from folioflux.llm import decontamination, exact_dedup, filter_audit, html_extraction, language_id, license_scan, mixing, ngram_join, pii, secret_scan, token_alignment, toxicity, url_filter
 
 QUERIES: dict = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -17,6 +17,7 @@ QUERIES: dict = {
     "op6_mixing": mixing.op6_mixing,
     "op11_token_alignment": token_alignment.op11_token_alignment,
     "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_html_extraction": html_extraction.op13_html_extraction,
 }
 
 ORACLES: dict = {
