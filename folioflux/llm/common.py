@@ -97,3 +97,18 @@ def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", bits: i
     flag = flagged(docs.withColumn("_k", F.xxhash64(F.col(id_col))), "_k", bitmap(gone.select(F.xxhash64("_id").alias("_k")), "_k", bits), bits, "_maybe")
     maybe = flag.where("_maybe").join(gone, F.col(id_col) == F.col("_id"), "left_anti")
     return flag.where("not _maybe").select(*names).union(maybe.select(*names))
+
+
+def within(rows: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
+    """Of a bounded sample `rows` those that `sizes` (_id, _g, _o, _n; a row each, as few) lets in, in order of _o: of each
+    group _g as many as have `most` in all, by their _n. One that would go over it is passed over."""
+    used, out = {}, []
+    for r in sorted(sizes.collect(), key=lambda r: (r._o, r._id)):
+        if used.get(r._g, 0) + r._n <= most:
+            used[r._g] = used.get(r._g, 0) + r._n
+        else:
+            out.append(tuple(r))
+    if not out:
+        return rows
+    over = sizes.sparkSession.createDataFrame(out, sizes.schema).select(F.col("_id").alias("_over"))
+    return rows.join(F.broadcast(over), F.col("_id") == F.col("_over"), "left_anti")

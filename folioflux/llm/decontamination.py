@@ -39,7 +39,7 @@ class Phrases:
     sizes: np.ndarray
     item_bounds: np.ndarray  # window i has the items item_of[item_bounds[i]:item_bounds[i + 1]]
     item_of: np.ndarray
-    names: list[str]
+    names: list[str | None]
     shortest: int
 
     def symbols(self, words) -> np.ndarray:
@@ -54,8 +54,8 @@ class Phrases:
         return found
 
 
-def compile_phrases(items: list[tuple[str, str]], window: int = WINDOW) -> Phrases | None:
-    """Windows of (item id, text) pairs; None if no item has a word."""
+def compile_phrases(items: list[tuple[str | None, str]], window: int = WINDOW) -> Phrases | None:
+    """Windows of (item id, text) pairs; None if no item has a word. An item without id names nothing."""
     texts = pa.array([t.encode() for _, t in items], type=pa.large_binary())
     per_item: list[np.ndarray] = []
     seconds = []
@@ -81,6 +81,7 @@ def compile_phrases(items: list[tuple[str, str]], window: int = WINDOW) -> Phras
         owners.append(np.full(len(cut), k))
     patterns, of = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
     pairs = np.unique(np.stack([of.ravel(), np.concatenate(owners)], axis=1), axis=0)
+    pairs = pairs[np.array([n is not None for n, _ in items])[pairs[:, 1]]]
     sizes = (patterns > 0).sum(axis=1)
     maybe = np.zeros(1 << 16, dtype=bool)
     maybe[(first & np.uint64(0xFFFF)).astype(np.int64)] = True
@@ -221,11 +222,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     broadcast; its bytes are summed first, and a larger one than `benchmark_bytes` is searched for in several passes of
     about so many bytes each, chained over the same rows. Words are compared by two independent 64-bit hashes.
 
-    Null and empty texts have no words, and so no hits; null items too; items with a null id count by no id and are
-    left out. Items that repeat an id count as one. An empty table on either side gives no hits. Rows with null or
+    Null and empty texts have no words, and so no hits; null items too; windows of an item with a null id hit like
+    others and name no item. Items that repeat an id count as one. An empty table on either side gives no hits. Rows with null or
     repeated ids are rows of their own.
     """
-    known = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null")
+    known = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")).where("text is not null")
     size = known.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     passes = max(1, -(-size // benchmark_bytes))
     part = known.withColumn("part", F.expr(f"pmod(xxhash64(item, text), {passes})"))
@@ -235,7 +236,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     for k in range(passes):
         items = part.where(F.col("part") == k).select("item", "text").collect()
         carried = [c for c in state.columns if c != "t" or k < passes - 1]
-        found = search(state, compile_phrases(sorted((r.item, r.text) for r in items), window), f"row.{text_col}" if inside else "t", carried)
+        found = search(state, compile_phrases(sorted(((r.item, r.text) for r in items), key=lambda x: (x[0] or "", x[1])), window), f"row.{text_col}" if inside else "t", carried)
         state = _merged(found, carried) if k else found.select(*[f"_row.{c}" for c in carried], "n_words", "n_hit", "items", "spans")
     return state.select(F.col("row").alias("_row"), "n_words", "n_hit", F.array_sort(F.array_distinct("items")).alias("items"), "spans")
 
@@ -274,7 +275,7 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 _WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 OP4_SQL = f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
-i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS ws FROM benchmark WHERE item_id IS NOT NULL),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS ws FROM benchmark),
 v AS (SELECT DISTINCT item, least({WINDOW}, len(ws)) AS n, array_to_string(ws[p:p + least({WINDOW}, len(ws)) - 1], ' ') AS k
       FROM i, unnest(generate_series(1, greatest(len(ws) - {WINDOW - 1}, 1))) t(p) WHERE len(ws) > 0),
 s AS (SELECT DISTINCT n FROM v),

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflux.llm.arrowmap import map_texts
+from folioflux.llm.common import staged, within
 from folioflux.llm.toxicity import held_out
 from folioflux.llm.wordarrays import Words, hash_ranges, words_of
 from folioflux.sources.tables import load
@@ -18,6 +19,8 @@ from folioflux.sources.tables import load
 LEXICON, AFFIX, GRAM = 1 << 15, 1 << 12, 1 << 14
 #: Bound on the documents of each language that training reads.
 MAX_DOCS = 300
+#: Bound on the words of a language's documents together; one that doesn't fit any more is passed over.
+MAX_WORDS = 1_000_000
 #: Columns over which a chain is cut so that all of them step together.
 COLUMNS = 1024
 
@@ -200,17 +203,19 @@ def train(rows: list[tuple[list[np.ndarray], np.ndarray, np.ndarray]], y: np.nda
     return Model(labels, tables[0], tables[1:5], tables[5], step, start)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS) -> Model:
-    """A model of all values of lang_col, from max_docs whole texts of each: those with the smallest hash of their id.
-    What comes to the driver is bounded by rows a language; each partition sends so many of a language at most."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS) -> Model:
+    """A model of all values of lang_col, from max_docs whole texts of each: those with the smallest hashes of their id and
+    their text. What comes to the driver is bounded by rows and words a language; each partition sends so many of a
+    language at most. A row counts by its id, language and text: null ids and rows that repeat an id are rows like
+    others, equal rows are read once. Without rows the model has no language, and all is `und`."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     labels = sorted(r[0] for r in known.select(lang_col).distinct().collect())
     if not labels:
         return Model([], np.zeros((LEXICON, 0)), [np.zeros((AFFIX, 0))] * 4, np.zeros((GRAM, 0)), np.zeros((0, 0)), np.zeros(0))
-    order = F.xxhash64(F.col(id_col), F.lit(3))
-    ranked = known.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), order.alias("_o"))
-    ids = ranked.withColumn("_n", F.row_number().over(Window.partitionBy("_lang").orderBy("_o", "_id"))).where(F.col("_n") <= max_docs).select("_id")
-    picked = known.join(F.broadcast(ids.distinct()), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi").select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_t"))
+    rows_of = known.select(F.xxhash64(id_col, lang_col, text_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_t"), F.xxhash64(F.col(id_col), F.lit(3)).alias("_o"))
+    ranked = rows_of.select("_id", "_lang", "_o").withColumn("_n", F.row_number().over(Window.partitionBy("_lang").orderBy("_o", "_id")))
+    chosen = ranked.where(F.col("_n") <= max_docs).select(F.col("_id").alias("_chosen")).distinct()
+    picked = rows_of.join(F.broadcast(chosen), F.col("_id") == F.col("_chosen"), "left_semi").groupBy("_id").agg(F.min(F.struct("_o", "_lang", "_t")).alias("_r")).select("_id", "_r._o", "_r._lang", "_r._t")
 
     def make():
         def rows(data, offsets, texts):
@@ -225,8 +230,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return rows
 
     fields = ", ".join(f"{c} array<int>" for c in ("f0", "f1", "f2", "f3", "f4", "gram", "size"))
-    got = map_texts(picked, "_t", fields, make, ["_id", "_lang"]).select("_row._id", "_row._lang", "f0", "f1", "f2", "f3", "f4", "gram", "size").toArrow()
-    got = got.sort_by([("_id", "ascending"), ("_lang", "ascending")])
+    read = staged(map_texts(picked, "_t", fields, make, ["_id", "_o", "_lang"]).select("_row._id", "_row._o", "_row._lang", "f0", "f1", "f2", "f3", "f4", "gram", "size"), "language-train")
+    got = within(read, read.select("_id", F.col("_lang").alias("_g"), "_o", F.size("f0").alias("_n")), max_words).toArrow()
+    got = got.sort_by([("_o", "ascending"), ("_id", "ascending")])
     column = lambda c: [np.asarray(x.values) for x in got[c]]
     features = list(zip(*(column(f"f{i}") for i in range(5)), strict=True))
     rows = [(list(f), g, s) for f, g, s in zip(features, column("gram"), column("size"), strict=True)]
@@ -247,7 +253,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", columns: lis
     runs of words of one language, array<struct<lang, first_word, last_word>>.
 
     lang_pred is the label with the largest share of the text's words, their probabilities summed; score is that share.
-    A null text, or one without a letter, is `und` with score 0; letters without a word cannot be. One pass over the
+    A null text, or one without a letter, is `und` with score 0; letters without a word cannot be. Rows that repeat are
+    rows of their own; an empty table gives no rows; the struct keeps columns of any name. One pass over the
     rows in their partitions: no shuffle, memory bounded by a slice of an Arrow batch.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)

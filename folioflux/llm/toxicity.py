@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflux.llm.arrowmap import map_texts
+from folioflux.llm.common import staged, within
 from folioflux.llm.wordarrays import Words, hash_ranges, words_of
 from folioflux.sources.tables import load
 
@@ -19,6 +20,8 @@ PAD = WORD_BUCKETS + HEAD_BUCKETS
 WIDTHS, FILTERS, SIZE = (1, 2, 3), 12, 12
 #: Bound on the labelled documents that training reads, half of them of each label where there are so many.
 MAX_TRAIN = 4000
+#: Bound on the words of those documents together; one that doesn't fit any more is passed over.
+MAX_WORDS = 8_000_000
 #: Buckets that fewer training texts have stay zero: they could only tell these texts apart, not others.
 RARE = 3
 
@@ -177,12 +180,14 @@ def calibrate(model: Model, logit: np.ndarray, labels: np.ndarray, langs: list[s
         model.thresholds[lang] = float(np.clip((s[best] + below) / 2, 0.2, 0.8))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", lang_col: str | None = "lang", max_train: int = MAX_TRAIN) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", lang_col: str | None = "lang", max_train: int = MAX_TRAIN, max_words: int = MAX_WORDS) -> Model:
     """A model from the documents that `labels` marks 0 or 1 in label_col; an id marked both ways counts as 1.
 
     At most max_train documents are read: of each label the half with the smallest hash of their id, so that the choice
     is the same in each run. Which these are is decided on the labels alone; only their ids are broadcast, and only rows
-    of buckets come to the driver. A quarter of them is kept from training for calibration, where each stands for as many
+    of buckets come to the driver, of max_words words at most: a document that doesn't fit is passed over. Of rows that
+    repeat an id the one with the smallest hash of its text is read; null ids have no label. Without labels, or without
+    documents, nothing is learned. A quarter of them is kept from training for calibration, where each stands for as many
     labelled ids as there are for one chosen of its label: a label that is cut by max_train keeps its share of the table.
     """
     marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
@@ -190,6 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = marks.where("_y = 1").orderBy(order, "_id").limit(max_train // 2).union(marks.where("_y = 0").orderBy(order, "_id").limit(max_train // 2))
     labelled = {r["_y"]: r["count"] for r in marks.groupBy("_y").count().collect()}
     picked = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select("_id", "_y", (F.col(lang_col) if lang_col else F.lit(None).cast("string")).alias("_lang"), F.col(text_col).alias("_t"))
+    picked = picked.groupBy("_id", "_y").agg(F.min_by(F.struct("_lang", "_t"), F.xxhash64("_t", "_lang")).alias("_r")).select("_id", "_y", "_r._lang", "_r._t")
 
     def make():
         def rows(data, offsets, texts):
@@ -200,7 +206,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
         return rows
 
-    got = map_texts(picked, "_t", "whole array<int>, head array<int>", make, ["_id", "_y", "_lang"]).select("_row._id", "_row._y", "_row._lang", "whole", "head").toArrow()
+    read = staged(map_texts(picked, "_t", "whole array<int>, head array<int>", make, ["_id", "_y", "_lang"]).select("_row._id", "_row._y", "_row._lang", "whole", "head"), "toxicity-train")
+    got = within(read, read.select("_id", F.lit(0).alias("_g"), F.xxhash64("_id", F.lit(1)).alias("_o"), F.size("whole").alias("_n")), max_words).toArrow()
     got = got.sort_by([("_id", "ascending")]) if got.num_rows else got
     y = got["_y"].to_numpy().astype(np.int64) if got.num_rows else np.zeros(0, dtype=np.int64)
     rows = [[np.asarray(x.values) for x in got[c]] for c in ("whole", "head")] if got.num_rows else [[], []]
@@ -221,7 +228,8 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text", columns:
     """_row (a struct of `columns` of each row, all by default) and score, 0 to 1, of each whole text.
 
     One pass over the rows in their partitions: no shuffle, memory bounded by a slice of an Arrow batch. Null and empty
-    texts get the score of no words at all.
+    texts get the score of no words at all; rows that repeat are scored each; an empty table gives no rows; the struct
+    keeps columns of any name apart from the score.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -18,7 +18,21 @@ SLICE_BYTES = 1_000_000
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, size=(2, 256), dtype=np.uint64) | np.uint64(1)
 _PLACES = 1024
-_PLACE = np.cumprod(np.full((2, _PLACES), [[0x9E3779B97F4A7C15], [0xD6E8FEB86659FD93]], dtype=np.uint64), axis=1, dtype=np.uint64)
+_STEP = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+
+
+def _factors(place: np.ndarray, which: int) -> np.ndarray:
+    """An odd 64-bit factor for each place of a word, however far: the place, mixed."""
+    with np.errstate(over="ignore"):
+        x = (place.astype(np.uint64) + np.uint64(1)) * np.uint64(_STEP[which])
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        return (x ^ (x >> np.uint64(31))) | np.uint64(1)
+
+
+# powers for the first places, mixed factors for all others: powers alone would take some long words for equal
+_PLACE = np.stack([_factors(np.arange(_PLACES), which) for which in (0, 1)])
+_PLACE[:, :64] = np.cumprod(np.full((2, 64), [[_STEP[0]], [_STEP[1]]], dtype=np.uint64), axis=1, dtype=np.uint64)
 
 #: Bytes of words: digits, letters and everything outside ASCII. A-Z are lower-cased first.
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -51,9 +65,12 @@ def hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int
     first = np.cumsum(size) - size
     place = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(first, size)
     byte = data[place + np.repeat(start.astype(np.int64), size)]
-    place &= _PLACES - 1
+    factor = _PLACE[which][np.minimum(place, _PLACES - 1)]
+    far = np.flatnonzero(place >= _PLACES)
+    if len(far):
+        factor[far] = _factors(place[far], which)
     with np.errstate(over="ignore"):
-        h = np.add.reduceat(_BYTE[which][byte] * _PLACE[which][place], first)
+        h = np.add.reduceat(_BYTE[which][byte] * factor, first)
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)

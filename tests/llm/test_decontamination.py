@@ -28,11 +28,12 @@ def expected(text, items):
                 for p in range(len(doc) - size + 1):
                     if doc[p : p + size] == w[i : i + size]:
                         hit |= set(range(p, p + size))
-                        found.add(str(name))
+                        if name is not None:
+                            found.add(str(name))
     return len(doc), len(hit), sorted(found)
 
 
-ITEMS = [(1, "The quick brown fox jumps over the lazy dog and runs away home"), (2, "short one"), (10, "É ñandú été"), (3, None), (4, ""), (5, "..."), (None, "short one"), (2, "other words entirely here"), (7, "a a a a a a a a a a a")]
+ITEMS = [(1, "The quick brown fox jumps over the lazy dog and runs away home"), (2, "short one"), (10, "É ñandú été"), (3, None), (4, ""), (5, "..."), (None, "short one"), (None, "nobody knows whose words these are"), (2, "other words entirely here"), (7, "a a a a a a a a a a a")]
 DOCS = [
     None,
     "",
@@ -45,12 +46,13 @@ DOCS = [
     "a " * 40,
     "short\x00one 🎉 short one",
     "z" * 100_000 + " short one",
+    "I say nobody knows whose words these are now",
 ]
 
 
 def check(rows, items):
     for r in rows:
-        n, hit, names = expected(r.text, [(a, b) for a, b in items if a is not None])
+        n, hit, names = expected(r.text, items)
         assert (r.n_words, r.n_hit, r["items"]) == (n, hit, names), r.text[:80]
 
 
@@ -144,3 +146,33 @@ def test_a_text_of_more_symbols_than_one_index_can_have():
     shard.add(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)]))
     n_words, n_hit, names, _ = (x.to_pylist() for x in shard.results())
     assert n_words == [2_200_010] and n_hit == [10] and names == [["x"]]
+
+
+def test_words_that_differ_far_in_are_different(spark):
+    """Bytes swapped a power of two apart, and the words that a polynomial of any odd base takes for equal."""
+    rng = np.random.default_rng(5)
+    long = "".join(rng.choice(list("abcdefgh"), size=5000))
+    swapped = [long[:i] + long[i + k] + long[i + 1 : i + k] + long[i] + long[i + k + 1 :] for i, k in ((0, 1024), (5, 2048), (100, 4096), (1023, 1)) if long[i] != long[i + k]]
+    ab = "a"
+    while len(ab) < 4096:
+        ab += ab.translate({97: "b", 98: "a"})
+    swapped += [ab, ab.translate({97: "b", 98: "a"})]
+    for which in (0, 1):
+        data = np.frombuffer("".join([long, *swapped]).encode(), dtype=np.uint8)
+        ends = np.cumsum([len(x) for x in (long, *swapped)])
+        assert len(set(hash_ranges(data, np.concatenate([[0], ends[:-1]]), ends, which).tolist())) == 1 + len(swapped)
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate([long, *swapped])], "doc_id long, text string")
+    found = d.contamination(docs, spark.createDataFrame([(1, long)], "item_id long, text string"))
+    assert {r._row.doc_id for r in found.collect() if r.n_hit} == {0}
+
+
+def test_sql_counts_items_without_id(spark, tmp_path):
+    import duckdb
+
+    folder = str(tmp_path)
+    spark.createDataFrame([(i, t) for i, t in enumerate(DOCS) if t is None or "\x00" not in t], "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet/*.parquet')")
+    assert sorted(map(tuple, d.op4_decontamination(spark, folder).collect())) == sorted(c.sql(d.OP4_SQL).fetchall())

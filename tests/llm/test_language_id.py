@@ -74,3 +74,16 @@ def test_every_language_is_learned(spark):
     assert model.labels == sorted({x for _, x, _ in rows})
     got = lid.identify(docs, model, columns=["lang"]).select("_row.lang", "lang_pred").collect()
     assert sum(r.lang == r.lang_pred for r in got) > 0.95 * len(rows)
+
+
+def test_training_reads_bounded_rows_and_words(spark, monkeypatch):
+    """Null and repeated ids bring no more rows than any other."""
+    seen = []
+    monkeypatch.setattr(li, "train", lambda rows, y, labels: seen.append((rows, y, labels)))
+    docs = spark.range(3000).selectExpr("if(id % 3 = 0, NULL, id % 5) AS doc_id", "concat('word ', id % 1000, ' more') AS text", "if(id % 2 = 0, 'a', 'b') AS lang")
+    li.fit(docs, max_docs=50)
+    rows, y, labels = seen.pop()
+    assert labels == ["a", "b"] and 0 < len(rows) <= 100 and len(y) == len(rows)
+    li.fit(docs, max_docs=50, max_words=30)
+    rows, y, _ = seen.pop()
+    assert [sum(len(r[0][0]) for r, c in zip(rows, y, strict=True) if c == k) for k in (0, 1)] == [30, 30]

@@ -55,3 +55,17 @@ def test_calibration_keeps_the_share_of_the_table(spark, monkeypatch):
     t.fit(docs, docs.selectExpr("doc_id", "cast(doc_id % 10 = 0 AS int) AS toxic"), max_train=40)
     y, weights = seen[0]
     assert set(weights[y == 1]) == {2.0} and set(weights[y == 0]) == {18.0}
+
+
+def test_training_reads_bounded_rows_and_words(spark, monkeypatch):
+    """Repeated ids are read once each; what doesn't fit the bound on words is passed over."""
+    seen, real = [], t.train
+    monkeypatch.setattr(t, "train", lambda docs, y, *a, **b: (seen.append((docs, y)), real(docs, y, *a, **b))[1])
+    docs = spark.range(4000).selectExpr("id % 4 AS doc_id", "concat('word ', if(id % 2 = 0, 'bad ', 'good '), id % 7) AS text", "'a' AS lang").union(spark.sql("SELECT NULL, 'nobody', 'a'"))
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1), (3, 0), (None, 1)], "doc_id long, toxic int")
+    t.fit(docs, labels, max_train=4)
+    assert sum(len(d) for d, _ in seen) <= 4
+    seen.clear()
+    long = spark.createDataFrame([(i, "a b c d e " * (500 if i == 3 else 1), "a") for i in range(8)], "doc_id long, text string, lang string")
+    t.fit(long, spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, toxic int"), max_words=35)
+    assert 0 < sum(len(x[0]) for d, _ in seen for x in d) <= 35
