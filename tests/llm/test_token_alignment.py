@@ -95,5 +95,24 @@ def test_empty_table_and_broken_bytes(spark, encoders):
 
 def test_cut_groups_and_links():
     assert ta.expanded("1,1,2|3") == [(1, 3, 2), (2, 3, 1)]
-    assert ta.written(((1, 2), (3,))) == "1,2|3"
+    assert ta.written((1, 2), (3,)) == "1,2|3"
     assert sorted(ta.byte_level().values()) == list(range(256))
+
+
+def test_both_encoders_of_a_agree(encoders):
+    """The faster one has the same ids: on pieces of the vocabulary, on characters of many kinds, and on the odd texts."""
+    rng = np.random.default_rng(2)
+    pieces = np.array([x.decode() for x in encoders.a_bytes[:50_000] if x.isascii()])
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzABCDEFG0123456789 .,'-_#\n\t\u00e9\u00df\u65e5\u0416\U0001f600\u00a0\u2003"))
+    texts = [" " + "".join(rng.choice(pieces, size=n)) for n in rng.integers(1, 6, 20_000)] + [" " + "".join(rng.choice(letters, size=n)) for n in rng.integers(1, 60, 20_000)] + [" " + x for x in ODD if x]
+    slow = [x.ids for x in encoders.a.encode_batch(texts, add_special_tokens=False)]
+    assert [encoders.short.encode_ordinary(t) for t in texts] == slow
+
+
+def test_units_cover_the_texts():
+    data = np.frombuffer(" a b  c  d  \u00e9 x \u00a0y z".encode() + b" " + b"  next one" + b" ", dtype=np.uint8)
+    starts = np.array([0, len(data) - 12, len(data) - 1])
+    at = ta.unit_bounds(data, starts).tolist()
+    cut = [bytes(data[a:b]) for a, b in zip(at, [*at[1:], len(data)], strict=True)]
+    assert b"".join(cut) == bytes(data) and set(starts.tolist()) <= set(at)
+    assert all(x.startswith(b" ") for x in cut) and b" b  c  d  \xc3\xa9" in cut and b" one" in cut
