@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from functools import cache
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,6 +90,21 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             return labels
 
 
+def row_keyed(docs: DataFrame, id_col: str = "doc_id", nulls: int = -(1 << 63)) -> DataFrame:
+    """_key and _row (a struct of the row): _key orders rows by their id, a null id as `nulls`, and tells rows apart that
+    repeat an id or have none, by the file and place they were read from. Rows that come from no file are staged first.
+    """
+    if "_metadata" not in docs.columns:
+        place = F.xxhash64("_metadata.file_path", "_metadata.row_index")
+        key = F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit(nulls)).alias("id"), place.alias("place")).alias("_key")
+        try:
+            return docs.select(key, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+        except AnalysisException:  # no files, or past a join or union
+            pass
+    rows = staged(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")), "rows")
+    return row_keyed(rows.select("_row", F.col(f"_row.{id_col}").alias("id")), "id", nulls).select("_key", F.col("_row._row").alias("_row"))
+
+
 def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", bits: int = 22) -> DataFrame:
     """`docs` without the rows whose id is in `dropped` (_id). A bitmap of the dropped ids, of bounded size, is broadcast;
     only rows whose bit is set take part in the join, the others never leave their partition. Null ids stay."""

@@ -58,4 +58,21 @@ def test_odd_rows_pass_through(spark, sf_dir):
         docs = stage(spark, docs, sf_dir)
         assert docs.columns == COLUMNS
     got = cp.mixing(spark, docs, sf_dir).collect()
-    assert sorted(str(r.doc_id) for r in got) == ["2", "3", "3", "None"]
+    # of the two empty texts and the null one the largest id stays, of the repeated row one
+    assert sorted(str(r.doc_id) for r in got) == ["2", "3"]
+
+
+def test_repeated_and_null_ids_lose_no_text(spark, sf_dir):
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(5, "alpha beta"), (5, "gamma delta"), (9, "alpha beta"), (None, "alpha beta"), (None, "epsilon"), (None, "epsilon"), (None, None), (7, "gamma delta"), (7, "gamma delta"), (7, "zeta")]
+    docs = spark.createDataFrame([(i, t, "en", "a", k) for k, (i, t) in enumerate(rows)], columns)
+    left = sorted((str(r.doc_id), r.text or "") for r in cp.exact_dedup(spark, docs, sf_dir).collect())
+    assert left == [("7", "gamma delta"), ("7", "zeta"), ("9", "alpha beta"), ("None", ""), ("None", "epsilon")]
+    words = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+    rows = [(5, words), (5, "something else that nobody wrote before now"), (5, words + " more"), (None, words), (3, words + " again"), (None, "only this row without an id here")]
+    docs = spark.createDataFrame([(i, t, "en", "a", k) for k, (i, t) in enumerate(rows)], columns)
+    near = cp.near_dedup(spark, docs, sf_dir)
+    assert near.columns == COLUMNS
+    assert sorted((str(r.doc_id), r.text) for r in near.collect()) == sorted([("3", words + " again"), ("5", rows[1][1]), ("None", rows[5][1])])
+    empty = docs.limit(0)
+    assert cp.exact_dedup(spark, empty, sf_dir).count() == cp.near_dedup(spark, empty, sf_dir).count() == 0
