@@ -1,9 +1,9 @@
 """From raw documents to a training mix: toxicity, exact copies, near copies, benchmark leaks, then the mix of sources.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; what it returns is written as Parquet
-and read again as the next one's docs. All but the last return the columns of documents, null text and null ids included
-(a null id can't be named as a copy, so its row stays). doc_id identifies a document: rows that repeat an id go together.
-An empty table passes through every stage.
+and read again as the next one's docs. All but the last return the columns of documents, whatever their names. Each row is
+a document of its own, also where ids repeat or are null: of equal rows one stays, and rows with a null id go before others.
+Null texts are empty; an empty table passes through every stage.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflux.llm.common import staged, without
+from folioflux.llm.common import row_keyed, staged, without
 from folioflux.llm.decontamination import contamination
 from folioflux.llm.exact_dedup import exact_duplicates
 from folioflux.llm.mixing import mix_sources
@@ -29,12 +29,16 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts the one with the largest doc_id."""
-    return without(docs, exact_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_id")))
+    rows = row_keyed(docs)
+    found = exact_duplicates(rows.select("_key", "_row.text"), id_col="_key")
+    return without(rows, found.where("not kept").select(F.col("_key").alias("_id")), "_key").select("_row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by 5-word shingles at a Jaccard similarity of 0.8 the one with the smallest doc_id."""
-    return without(docs, near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_id")))
+    rows = row_keyed(docs, nulls=(1 << 63) - 1)
+    found = near_duplicates(rows.select("_key", "_row.text"), id_col="_key")
+    return without(rows, found.where("_key <> component_id").select(F.col("_key").alias("_id")), "_key").select("_row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
