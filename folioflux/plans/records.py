@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from folioflux.functions import similarity as sim
 from folioflux.functions import values as vx
-from folioflux.operators import cells, exports
+from folioflux.operators import bags, cells, exports
 from folioflux.plans.catalog import query
 from folioflux.sources import files, markup
 
@@ -25,11 +25,8 @@ def html_tables(t):
 
 @query("fuzzy_titles")
 def fuzzy_titles(t):
-    """Parts of one brand and size whose names are alike: blocked on both, never all pairs."""
-    p = t("part").select("p_partkey", "p_name", "p_brand", "p_size")
-    q = p.select(F.col("p_partkey").alias("other"), F.col("p_name").alias("other_name"), "p_brand", "p_size")
-    pairs = p.join(q, ["p_brand", "p_size"]).where("p_partkey < other")
-    return pairs.withColumn("ratio", sim.ratio("p_name", "other_name")).where("ratio >= 0.6").select("p_partkey", "other", "ratio")
+    """Names of parts that are alike, each pair of different names once, with the number of parts that have them."""
+    return bags.alike(t("part"), name="p_name")
 
 
 @query("canonical_text")
