@@ -50,13 +50,13 @@ def entity_extract(t):
     return e.select("doc_id", *[F.size(f"e.{k}").cast("long").alias(k) for k in ("emails", "phones", "money")])
 
 
-@query("value_types", "SELECT CASE " + " ".join(f"WHEN regexp_matches(v, '{p}')" + (" AND length(v) BETWEEN 3 AND 41" if k == "identifier" else "") + f" THEN '{k}'" for k, p in tx.SHAPES) + """ ELSE 'text' END AS kind, CAST(sum(n) AS BIGINT) AS n
+@query("value_types", f"""SELECT {tx.value_type_sql('v')} AS kind, CAST(sum(n) AS BIGINT) AS n
 FROM (SELECT v, count(*) AS n FROM (SELECT trim(unnest(string_split(replace(text, chr(10), ' '), ' '))) AS v FROM documents) WHERE v <> '' GROUP BY v) GROUP BY 1""")
 def value_types(t):
     """Shapes of all tokens, counted: each different token is classified once."""
     tokens = t("documents").select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("v")).select(F.trim("v").alias("v")).where("v <> ''")
     counts = tokens.groupBy("v").agg(F.count("*").alias("n"))
-    return counts.groupBy(tx.value_type(F.col("v")).alias("kind")).agg(F.sum("n").alias("n"))
+    return counts.select(tx.value_type(F.col("v")).alias("kind"), "n").groupBy("kind").agg(F.sum("n").alias("n"))
 
 
 @query("label_rejection", r"""WITH l AS (SELECT trim(unnest(string_split(text, chr(10)))) AS v FROM documents)
