@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from folioflux.plans.catalog import ORACLES, QUERIES
-from folioflux.plans import analytics, inventory, layouts, matches, pages, records, retrieval, sequences, texts, workflow  # noqa: F401  they register themselves
+from folioflux.plans import analytics, inventory, layouts, matches, pages, records, reports, retrieval, sequences, texts, workflow  # noqa: F401  they register themselves
 
 __all__ = ["ORACLES", "QUERIES"]
