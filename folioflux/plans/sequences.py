@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from folioflux.operators import references as refs
 from folioflux.operators import sequence as seq
 from folioflux.plans.catalog import query
 from folioflux.streaming import events as ev
@@ -37,25 +38,26 @@ def stage_durations(t):
     return seq.gap_seconds(t("events"), ["user_id"], ["ts", "event_id"], "ts").select("event_id", "seconds")
 
 
-@query("margin_templates", r"""WITH l AS (SELECT DISTINCT doc_id, source, regexp_replace(unnest(string_split(text, chr(10))), '[0-9]', '#', 'g') AS mask FROM documents),
-n AS (SELECT source, count(*) AS docs FROM documents GROUP BY 1)
-SELECT l.source, mask, count(DISTINCT doc_id) AS n FROM l JOIN n ON l.source = n.source WHERE trim(mask) <> '' GROUP BY l.source, mask, docs HAVING count(DISTINCT doc_id) >= greatest(3, docs * 0.02)""")
+@query("margin_templates", r"""WITH b AS (SELECT c_nationkey, c_custkey, unnest([c_name, c_mktsegment]) AS text FROM customer),
+n AS (SELECT c_nationkey, count(*) AS pages FROM customer GROUP BY 1)
+SELECT c_nationkey, regexp_replace(lower(text), '[0-9]', '#', 'g') AS template, count(DISTINCT c_custkey) AS pages FROM b JOIN n USING (c_nationkey) GROUP BY c_nationkey, template, n.pages HAVING count(DISTINCT c_custkey) >= greatest(3, floor(n.pages * 0.25))""")
 def margin_templates(t):
-    """Digit-masked lines on at least three and a share of a source's documents. The distinct of (document, line) is an
-    aggregate of its own, so that a line in most documents is counted in parts before it is dealt out."""
-    d = t("documents")
-    lines = d.select("doc_id", "source", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", "source", F.regexp_replace("line", "[0-9]", "#").alias("mask")).where(F.trim("mask") != "").distinct()
-    counts = lines.groupBy("source", "mask").agg(F.count("*").alias("n")).where("n >= 3")
-    return counts.join(d.groupBy("source").agg(F.count("*").alias("docs")), "source").where(F.col("n") >= F.col("docs") * 0.02).select("source", "mask", "n")
+    """A nation's customers as pages, with the name in the top margin, the balance between and the segment at the bottom."""
+    line = lambda text, y: F.struct(F.col(text).cast("string").alias("text"), F.lit(y).alias("y0"), F.lit(y + 4.0).alias("y1"))
+    rows = F.array(line("c_name", 3.0), line("c_acctbal", 50.0), line("c_mktsegment", 92.0))
+    blocks = t("customer").select("c_nationkey", F.col("c_custkey").alias("page"), F.lit(100.0).alias("height"), F.inline(rows))
+    return refs.margin_templates(blocks, ["c_nationkey"])
 
 
-@query("toc_density", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
-SELECT doc_id, count(*) AS n_lines, count(CASE WHEN regexp_matches(line, '\.\s*$') THEN 1 END) / count(*)::DOUBLE AS ratio FROM l WHERE trim(line) <> '' GROUP BY doc_id HAVING count(*) >= 4""")
+@query("toc_density", r"""WITH l AS (SELECT l_orderkey, CASE l_linenumber % 3 WHEN 0 THEN 'Section ' || l_partkey || ' ........ ' || l_suppkey WHEN 1 THEN 'Part of text ' || l_partkey || '   ' || l_linenumber ELSE 'It costs ' || l_suppkey END AS text, l_linenumber % 3 < 2 AS toc FROM lineitem),
+n AS (SELECT l_orderkey, count(*) FILTER (WHERE toc) AS n_toc, count(*) AS n_lines FROM l GROUP BY 1)
+SELECT l_orderkey, n_toc, n_lines, n_toc / n_lines::DOUBLE AS ratio, n_toc >= 3 AS is_toc FROM n""")
 def toc_density(t):
-    """Share of a document's lines with a shape, where it has four lines or more: on the row, without an explode."""
-    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
-    sized = t("documents").select("doc_id", lines.alias("lines")).where(F.size("lines") >= 4)
-    return sized.select("doc_id", F.size("lines").cast("long").alias("n_lines"), (F.size(F.filter("lines", lambda x: x.rlike(r"\.\s*$"))) / F.size("lines")).alias("ratio"))
+    """Orders as pages, items as lines: entries with a leader or a gap before the page number, and sentences."""
+    c = lambda *x: F.concat(*[F.lit(v) if v.startswith(" ") or v.endswith(" ") else F.col(v).cast("string") for v in x])
+    third = F.col("l_linenumber") % 3
+    text = F.when(third == 0, c("Section ", "l_partkey", " ........ ", "l_suppkey")).when(third == 1, c("Part of text ", "l_partkey", "   ", "l_linenumber")).otherwise(c("It costs ", "l_suppkey"))
+    return refs.toc_pages(t("lineitem").select("l_orderkey", text.alias("text")), ["l_orderkey"])
 
 
 @query("as_of_heading", """SELECT c.event_id, v.ts AS as_of, v.event_id AS view_id FROM (SELECT * FROM events WHERE event_type = 'click') c

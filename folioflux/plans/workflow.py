@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from folioflux.operators import references as refs
 from folioflux.operators import workflow as wf
 from folioflux.plans.catalog import query
 
@@ -62,12 +62,28 @@ def content_reuse(t):
     return wf.reusable(runs, t("customer").select("c_custkey"), "c_custkey", 2000)
 
 
-@query("reference_match", """SELECT l_orderkey, l_linenumber, l_partkey * 3 AS reference, p_name AS title, CASE WHEN p_partkey IS NULL THEN 'not_in_reference' ELSE 'matched' END AS match_status FROM lineitem LEFT JOIN part ON l_partkey * 3 = p_partkey""")
+#: How the citations are made: an item cites its part's number, a tenth of them one that isn't there, with a title and date.
+_CITED = """SELECT l_orderkey, l_linenumber * 1000000 + l_partkey AS place, CASE WHEN l_tax >= 0.08 THEN l_partkey + 1000000 ELSE l_partkey END AS number, l_discount AS confidence,
+  CASE WHEN l_discount >= 0.09 THEN 'other ' ELSE '' END || p_name || CASE WHEN l_returnflag = 'R' THEN ' Alternate II' ELSE '' END || CASE WHEN l_linestatus = 'O' THEN ' (JAN ' || (1990 + p_size % 20 + CASE WHEN l_quantity > 40 THEN 1 ELSE 0 END) || ')' ELSE '' END AS title FROM lineitem JOIN part ON l_partkey = p_partkey"""
+
+
+@query("reference_match", f"""WITH c AS ({_CITED}),
+x AS (SELECT *, nullif(regexp_extract(title, '\\((JAN [0-9]{{4}})\\)', 1), '') AS d, CASE WHEN contains(title, 'Alternate II') THEN 'II' END AS alt, regexp_replace(regexp_replace(title, ' \\(JAN [0-9]+\\)', ''), ' Alternate II', '') AS bare FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, number, alt, d ORDER BY confidence DESC, place) AS rn FROM x)
+SELECT l_orderkey, r.number, d AS date, alt AS alternate, bare AS title, CASE WHEN p_partkey IS NULL THEN 'not_found' WHEN p_size % 10 = 0 THEN 'record_type_mismatch' WHEN bare <> p_name THEN 'title_mismatch' WHEN d IS NOT NULL AND d <> 'JAN ' || (1990 + p_size % 20) THEN 'date_mismatch' ELSE 'matched' END AS match_status,
+  CASE WHEN p_partkey IS NOT NULL AND p_size % 10 <> 0 AND bare = p_name AND (d IS NULL OR d = 'JAN ' || (1990 + p_size % 20)) THEN 'Verified' ELSE 'Needs Review' END AS qa_status
+FROM r LEFT JOIN part ON r.number = p_partkey WHERE rn = 1""")
 def reference_match(t):
-    """Citations against the reference dimension, with what they matched."""
-    cited = t("lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") * 3).alias("reference"))
-    joined = cited.join(t("part").select("p_partkey", "p_name"), F.col("reference") == F.col("p_partkey"), "left")
-    return joined.select("l_orderkey", "l_linenumber", "reference", F.col("p_name").alias("title"), F.when(F.col("p_partkey").isNull(), "not_in_reference").otherwise("matched").alias("match_status"))
+    """Clauses that orders cite, each once, against parts as the master table: found, of the right kind, title and date."""
+    p = t("part").withColumn("year", 1990 + F.col("p_size") % 20)
+    joined = t("lineitem").join(p, F.col("l_partkey") == F.col("p_partkey"))
+    empty = F.lit("")
+    date = F.concat(F.lit(" (JAN "), (F.col("year") + F.when(F.col("l_quantity") > 40, 1).otherwise(0)).cast("string"), F.lit(")"))
+    title = F.concat(F.when(F.col("l_discount") >= 0.09, "other ").otherwise(empty), "p_name", F.when(F.col("l_returnflag") == "R", " Alternate II").otherwise(empty), F.when(F.col("l_linestatus") == "O", date).otherwise(empty))
+    number = F.when(F.col("l_tax") >= 0.08, F.col("l_partkey") + 1000000).otherwise(F.col("l_partkey"))
+    citations = joined.select("l_orderkey", (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("place"), F.lit(None).cast("string").alias("regulation"), number.alias("number"), title.alias("title"), F.col("l_discount").alias("confidence"))
+    master = p.select(F.col("p_partkey").alias("number"), F.when(F.col("p_size") % 10 == 0, "Provision").otherwise("Clause").alias("record_type"), F.col("p_name").alias("clause_title"), F.concat(F.lit("JAN "), F.col("year").cast("string")).alias("effective_date"))
+    return refs.clause_references(citations, master, ["l_orderkey"]).select("l_orderkey", "number", "date", "alternate", "title", "match_status", "qa_status")
 
 
 @query("contract_keys", """WITH k AS (SELECT DISTINCT p_partkey, upper(regexp_replace(unnest(regexp_extract_all(p_brand || ' / ' || p_type || '-' || p_size, '[A-Za-z]+[#-][0-9]+')), '[^A-Za-z0-9]', '', 'g')) AS key FROM part)
@@ -80,16 +96,21 @@ def contract_keys(t):
     return keys.groupBy("key").agg(F.count("*").alias("documents"), F.min("p_partkey").alias("first_document")).where("documents > 1")
 
 
-@query("relationship_score", """WITH o AS (SELECT *, lag(o_orderkey) OVER w AS base, lag(o_orderpriority) OVER w AS p, lag(o_orderdate) OVER w AS d, lag(o_orderstatus) OVER w AS s FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
-r AS (SELECT o_orderkey, base, 50 + CASE WHEN o_orderpriority = p THEN 20 ELSE 0 END + CASE WHEN date_diff('day', d, o_orderdate) <= 90 THEN 20 ELSE 0 END + CASE WHEN o_orderstatus = s THEN 10 ELSE 0 END AS score FROM o WHERE base IS NOT NULL)
-SELECT o_orderkey, base, CAST(score AS INTEGER) AS score, CASE WHEN score >= 80 THEN 'linked' WHEN score >= 60 THEN 'suggested' ELSE 'none' END AS decision FROM r""")
+@query("relationship_score", """WITH c AS (SELECT *, 'n' || o_custkey AS cited FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')),
+m AS (SELECT c.o_orderkey AS child, p.o_orderkey AS parent, p.o_orderpriority = c.o_orderpriority AS party, p.o_orderpriority NOT IN ('1-URGENT', '2-HIGH') AS base, c.o_orderdate >= p.o_orderdate AS dates
+  FROM c JOIN orders p ON upper(c.cited) = 'N' || p.o_custkey AND p.o_orderstatus = 'F' AND p.o_orderkey <> c.o_orderkey),
+s AS (SELECT *, 70 + CASE WHEN party THEN 7 ELSE 0 END + CASE WHEN base THEN 5 ELSE 0 END + CASE WHEN dates THEN 3 ELSE 0 END AS points FROM m),
+r AS (SELECT *, row_number() OVER (PARTITION BY child ORDER BY points DESC, parent) AS rn FROM s)
+SELECT child, parent, points / 100.0::DOUBLE AS confidence, 'contract_number' AS matched_on, 'Matching contract number' || CASE WHEN party THEN ', Same counterparty' ELSE '' END || CASE WHEN base THEN ', Compatible document type' ELSE '' END || CASE WHEN dates THEN ', Compatible date range' ELSE '' END AS reasons FROM r WHERE rn = 1""")
 def relationship_score(t):
-    """A document against the one before it of the same party: points for what they share, and what follows from them."""
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    before = t("orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate", "o_orderstatus", *[F.lag(c).over(w).alias(n) for c, n in (("o_orderkey", "base"), ("o_orderpriority", "p"), ("o_orderdate", "d"), ("o_orderstatus", "s"))]).where("base is not null")
-    points = lambda c, n: F.when(c, n).otherwise(0)
-    score = F.lit(50) + points(F.col("o_orderpriority") == F.col("p"), 20) + points(F.datediff("o_orderdate", "d") <= 90, 20) + points(F.col("o_orderstatus") == F.col("s"), 10)
-    return before.select("o_orderkey", "base", score.alias("score")).select("o_orderkey", "base", "score", F.when(F.col("score") >= 80, "linked").when(F.col("score") >= 60, "suggested").otherwise("none").alias("decision"))
+    """Urgent orders as supporting documents, which cite their customer's number; finished orders that have it as parents."""
+    o = t("orders")
+    urgent = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
+    none = F.lit(None).cast("string")
+    children = o.where(urgent).select(F.col("o_orderkey").alias("child"), F.col("o_orderpriority").alias("party"), none.alias("second_party"), F.col("o_orderdate").alias("date"))
+    numbers = o.where(urgent).select(F.col("o_orderkey").alias("child"), F.concat(F.lit("n"), F.col("o_custkey").cast("string")).alias("number"))
+    parents = o.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("parent"), F.concat(F.lit("N"), F.col("o_custkey").cast("string")).alias("number"), none.alias("title"), F.col("o_orderpriority").alias("party"), none.alias("second_party"), F.col("o_orderdate").alias("date"), (~urgent).alias("base"))
+    return refs.detected_parents(children, parents, numbers).withColumn("reasons", F.array_join("reasons", ", "))
 
 
 @query("grid_search", """SELECT c_custkey FROM customer WHERE contains(lower(concat_ws(chr(31), CAST(c_custkey AS VARCHAR), c_name, CAST(c_nationkey AS VARCHAR), c_mktsegment)), '12')""")
