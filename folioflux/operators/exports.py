@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflux.operators.sequence import numbered
+from folioflux.session import checkpointed
+
 REVIEWED = ("accepted", "edited")
 
 
@@ -57,13 +61,30 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def replace_documents(df: DataFrame, path: str, key: str = "document_id") -> None:
-    """Writes `df` over the partitions of the documents it has, and no others: a rerun gives the same table."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+#: Folders that a table of documents is dealt out to, by the hash of the key.
+BUCKETS = 64
+
+
+def replace_documents(df: DataFrame, path: str, key: str = "document_id", buckets: int = BUCKETS) -> None:
+    """Puts the documents of `df` in the place of those the table at `path` has, and leaves all others: a rerun gives the same
+    table. Documents stand in folders by the hash of their key (column `bucket`), a fixed number whatever their number;
+    only folders that `df` touches are read and written. What they keep is checkpointed before they are overwritten."""
+    spark = df.sparkSession
+    new = df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most `buckets` rows
+    try:
+        old = spark.read.parquet(path)
+    except AnalysisException:
+        old = None
+    if old is not None:
+        kept = old.where(F.col("bucket").isin(touched)).join(new.select(key).distinct(), key, "left_anti")
+        new = checkpointed(new.unionByName(kept, allowMissingColumns=True))
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def sheet_titles(names: DataFrame, name: str, order: str, limit: int = 28) -> DataFrame:
-    """Names as sheet titles: reserved characters as blanks, cut, and numbered where they are equal in any case."""
+    """Names as sheet titles: reserved characters as blanks, cut, and numbered where they are equal in any case; a title of
+    many rows is numbered in ranges."""
     safe = F.coalesce(F.nullif(F.trim(F.substring(F.regexp_replace(name, r"[\[\]:*?/\\]", " "), 1, limit)), F.lit("")), F.lit("Sheet"))
-    n = F.row_number().over(Window.partitionBy(F.lower("_title")).orderBy(order))
-    return names.withColumn("_title", safe).withColumn("title", F.when(n == 1, F.col("_title")).otherwise(F.concat("_title", F.lit(" "), n.cast("string")))).drop("_title")
+    rows = numbered(names.withColumn("_title", safe).withColumn("_low", F.lower("_title")), ["_low"], [order], "_at")
+    return rows.withColumn("title", F.when(F.col("_at") == 1, F.col("_title")).otherwise(F.concat("_title", F.lit(" "), F.col("_at").cast("string")))).drop("_title", "_low", "_at")

@@ -94,3 +94,41 @@ def selected_pages(scored: DataFrame, keys: list[str], page: str, k: int) -> Dat
     them by page from 1."""
     best = scored.where("score > 0").withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("score").desc(), page))).where(F.col("_n") <= k).drop("_n")
     return best.withColumn("page_order", F.row_number().over(Window.partitionBy(*keys).orderBy(page)))
+
+
+#: Words that stay small in a label (fixed values), and what each flag of a pair takes from its score.
+JOINERS = ("of", "to", "and", "for", "per", "in", "on", "at", "by", "the", "or", "a", "an", "de")
+FLAG = 0.2
+
+
+def label_value(text: Column, label: str) -> Column:
+    """The value a text states for a label, in any case: the rest of the line after the label and a mark, else after blanks
+    what begins with a letter or figure, 101 characters at most; the first form goes before the second. Null for none."""
+    from re import escape
+
+    after = lambda rule: F.nullif(F.trim(F.regexp_extract(F.coalesce(text, F.lit("")), f"(?i){escape(label)}{rule}", 1)), F.lit(""))
+    return F.coalesce(after(r"\s*[:#-]\s*([^\n]+)"), after(r"\s+([A-Za-z0-9][^\n]{0,100})"))
+
+
+def pair_quality(label: Column, value: Column, relation: Column) -> Column:
+    """struct<score, flags>: how far a pair's shapes speak for it. Each flag takes 0.2: a label of one word, all in capitals,
+    or with small words that are no joiners; a value that looks like a label, is a list, or breaks off; a pair that only
+    type or place made."""
+    words = F.filter(F.split(F.trim(F.coalesce(label, F.lit(""))), r"\s+"), lambda x: x != "")
+    letters = F.regexp_replace(F.coalesce(label, F.lit("")), r"\P{L}", "")
+    text = F.trim(F.regexp_replace(F.coalesce(value, F.lit("")), r"\s+", " "))
+    n_words, bare = F.size(F.split(text, " ")), F.regexp_replace(text, r"\P{L}", "")
+    lines = F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), "\\R"), lambda x: F.trim(x)), lambda x: x != "")
+    small = lambda w: w.rlike(r"^\p{Ll}") & ~F.lower(w).isin(*JOINERS)
+    flags = F.array(
+        F.when(F.size(words) == 1, "single_word_label"),
+        F.when((F.length(letters) >= 2) & (letters == F.upper(letters)) & (F.size(words) >= 2), "all_caps_label"),
+        F.when(F.exists(F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), small), "label_has_lowercase_words"),
+        F.when(n_words.between(2, 4) & (bare != "") & (bare == F.upper(bare)) & ~text.rlike("[0-9]"), "value_looks_like_label"),
+        F.when((F.size(lines) >= 3) & F.forall(lines, lambda x: F.size(F.split(x, r"\s+")) <= 2), "value_is_list"),
+        F.when(text.rlike("[,;\u2013-]$"), "value_truncated"),
+        F.when(relation == "left_right_typography", "pairing_by_typography_only"),
+        F.when(relation == "left_right_whitespace", "pairing_by_position_only"),
+    )
+    kept = F.filter(flags, lambda x: x.isNotNull())
+    return F.struct(F.round(F.greatest(F.lit(0.0), 1 - FLAG * F.size(kept)), 2).alias("score"), kept.alias("flags"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflux.session import checkpointed
+
 
 def carried_forward(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
     """The last value that is not null at or before each row of its key."""
@@ -20,6 +22,22 @@ def with_islands(df: DataFrame, keys: list[str], order: list[str], same: Column
     return broken.withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "number") -> DataFrame:
+    """Numbers the rows of each key from 1 by `order`, or all rows where there are no keys, as row_number() does, but with no
+    key in one task: rows are dealt out by ranges of (keys, order), which Spark samples, numbered within their range, and
+    the rows of the ranges before are added. Order should end with a unique column."""
+    ranged = df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id())
+    rows = checkpointed(ranged)
+    counts = rows.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*(keys or [F.lit(1)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # a row a range
+    offsets = counts.withColumn("_before", F.coalesce(before, F.lit(0))).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r"), "_before")
+    at = rows.withColumn("_at", F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order)))
+    met = F.col("_range") == F.col("_r")
+    for i, k in enumerate(keys):
+        met = met & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return at.join(offsets, met).select(*df.columns, (F.col("_before") + F.col("_at")).alias(name))
+
+
 def seen_before(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str = "seen") -> DataFrame:
     """Whether the row's value occurred earlier in its key: its rank among equal values, so that no set is gathered."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys, value).orderBy(*order)) > 1)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from folioflux.operators import sequence as seq
 from folioflux.plans.catalog import query
 
 
@@ -23,21 +24,17 @@ def multiset_difference(t):
 
 @query("display_order", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS display_order, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS sequence FROM orders")
 def display_order(t):
-    """Each row's number among all and within its party. The global number is the number within the month and the running
-    count of the months before, a few rows, so that no task holds all rows."""
-    o = t("orders").select("o_orderkey", "o_custkey", "o_orderdate").withColumn("m", F.trunc("o_orderdate", "month"))
-    months = o.groupBy(F.col("m").alias("m2")).agg(F.count("*").alias("n"))
-    before = months.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("m2").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("m2", "before")
-    by = lambda k: F.row_number().over(Window.partitionBy(k).orderBy("o_orderdate", "o_orderkey"))
-    numbered = o.withColumn("at", by("m")).withColumn("sequence", by("o_custkey"))
-    return numbered.join(before, F.col("m").eqNullSafe(F.col("m2"))).select("o_orderkey", (F.col("before") + F.col("at")).alias("display_order"), "sequence")
+    """Each row's number among all and within its party; no task holds all rows, or all of a party's."""
+    order = ["o_orderdate", "o_orderkey"]
+    one = seq.numbered(t("orders").select("o_orderkey", "o_custkey", "o_orderdate"), [], order, "display_order")
+    return seq.numbered(one, ["o_custkey"], order, "sequence").select("o_orderkey", "display_order", "sequence")
 
 
 @query("batches", "SELECT event_type, (rn - 1) // 50 AS batch, count(*) AS n, min(event_id) AS first_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY event_id) AS rn FROM events) GROUP BY event_type, CAST(ts AS DATE), batch")
 def batches(t):
     """Work of a kind and day in batches of fifty."""
-    e = t("events").withColumn("day", F.to_date("ts"))
-    numbered = e.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy("event_type", "day").orderBy("event_id")) - 1) / 50))
+    e = t("events").select("event_type", "event_id", F.to_date("ts").alias("day"))
+    numbered = seq.numbered(e, ["event_type", "day"], ["event_id"]).withColumn("batch", F.floor((F.col("number") - 1) / 50))
     return numbered.groupBy("event_type", "day", "batch").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id")).select("event_type", "batch", "n", "first_id")
 
 

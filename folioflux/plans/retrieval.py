@@ -93,3 +93,24 @@ SELECT source, doc_id, score, row_number() OVER (PARTITION BY source ORDER BY do
 def selected_pages(t):
     """The eight best pages of each source, in page order."""
     return kv.selected_pages(_scored(t), ["source"], "doc_id", 8).select("source", "doc_id", "score", "page_order")
+
+
+@query("label_lookup", r"""SELECT doc_id, coalesce(nullif(trim(regexp_extract(text, '(?i)the\s*[:#-]\s*([^\n]+)', 1)), ''), nullif(trim(regexp_extract(text, '(?i)the\s+([A-Za-z0-9][^\n]{0,100})', 1)), '')) AS value FROM documents""")
+def label_lookup(t):
+    """What documents state for a label."""
+    return t("documents").select("doc_id", kv.label_value(F.col("text"), "the").alias("value"))
+
+
+@query("pair_quality", r"""WITH p AS (SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN upper(p_name) WHEN p_size % 4 = 1 THEN string_split(p_name, ' ')[1] ELSE p_name END AS label,
+  CASE WHEN p_size % 5 = 0 THEN upper(p_name) WHEN p_size % 5 = 1 THEN p_name || ',' ELSE p_brand END AS value, CASE WHEN p_size % 3 = 0 THEN 'left_right_whitespace' ELSE 'below' END AS relation FROM part),
+f AS (SELECT p_partkey, list_filter([CASE WHEN len(string_split(label, ' ')) = 1 THEN 'single_word_label' END, CASE WHEN label = upper(label) AND len(string_split(label, ' ')) >= 2 THEN 'all_caps_label' END,
+  CASE WHEN len(string_split(label, ' ')) >= 2 AND label <> upper(label) THEN 'label_has_lowercase_words' END, CASE WHEN value = upper(value) AND len(string_split(value, ' ')) BETWEEN 2 AND 4 AND NOT regexp_matches(value, '[0-9]') THEN 'value_looks_like_label' END,
+  CASE WHEN value LIKE '%,' THEN 'value_truncated' END, CASE WHEN relation = 'left_right_whitespace' THEN 'pairing_by_position_only' END], lambda x: x IS NOT NULL) AS flags FROM p)
+SELECT p_partkey, round(greatest(0, 1 - 0.2 * len(flags)), 2)::DOUBLE AS score, array_to_string(flags, ',') AS flags FROM f""")
+def pair_quality(t):
+    """Flags and score of pairs made of parts: names as labels, names and brands as values."""
+    size, name = F.col("p_size"), F.col("p_name")
+    label = F.when(size % 4 == 0, F.upper(name)).when(size % 4 == 1, F.split(name, " ")[0]).otherwise(name)
+    value = F.when(size % 5 == 0, F.upper(name)).when(size % 5 == 1, F.concat(name, F.lit(","))).otherwise(F.col("p_brand"))
+    q = kv.pair_quality(label, value, F.when(size % 3 == 0, "left_right_whitespace").otherwise("below"))
+    return t("part").select("p_partkey", q.alias("q")).select("p_partkey", "q.score", F.array_join("q.flags", ",").alias("flags"))

@@ -165,3 +165,36 @@ def test_odd_vectors(spark):
     got = [(r.query, r.rank, r.id, r.cosine) for r in vectors.cosine_topk(v.where("vec_id in (1, 4)"), v, 3, probes=None).orderBy("rank").collect()]
     assert got == [(1, 1, 2, 1.0), (1, 2, 3, 0.0), (1, 3, 5, -1.0)]
     assert vectors.cosine_topk(v, v.limit(0), 3).collect() == []
+
+
+def test_numbers_over_ranges(spark):
+    from folioflux.operators import sequence as seq
+
+    rng = random.Random(9)
+    rows = [(rng.choice(["hot", "hot", "hot", "a", "b", None]), i, rng.randint(0, 20)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, id long, v int")
+    got = {r.id: r.number for r in seq.numbered(df, ["k"], ["v", "id"]).collect()}
+    want = {}
+    for key in {r[0] for r in rows}:
+        want |= {r[1]: n for n, r in enumerate(sorted((r for r in rows if r[0] == key), key=lambda r: (r[2], r[1])), 1)}
+    assert got == want
+    all_ = {r.id: r.number for r in seq.numbered(df, [], ["v", "id"]).collect()}
+    assert [i for i, _ in sorted(all_.items(), key=lambda x: x[1])] == [r[1] for r in sorted(rows, key=lambda r: (r[2], r[1]))]
+    assert seq.numbered(df.limit(0), ["k"], ["id"]).collect() == []
+
+
+def test_labels_and_pairs(spark):
+    from folioflux.operators import keyvalues as kv
+
+    texts = spark.createDataFrame([(1, "x\nInvoice No: 77 a\ny"), (2, "INVOICE NO  B-12 rest"), (3, "invoice no"), (4, None)], "i int, t string")
+    assert {r.i: r.v for r in texts.select("i", kv.label_value(F.col("t"), "Invoice No").alias("v")).collect()} == {1: "77 a", 2: "B-12 rest", 3: None, 4: None}
+    pairs = [("Total due", "$5", "below"), ("INVOICE DATE", "SHIP TO", "left_right_typography"), ("Date of issue", "a\nb\nc", "below"), ("X", "to be continued -", "left_right_whitespace"), (None, None, None)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, l string, v string, r string")
+    got = {r.i: (r.q.score, r.q.flags) for r in df.select("i", kv.pair_quality(F.col("l"), F.col("v"), F.col("r")).alias("q")).collect()}
+    assert got == {
+        0: (0.8, ["label_has_lowercase_words"]),
+        1: (0.4, ["all_caps_label", "value_looks_like_label", "pairing_by_typography_only"]),
+        2: (0.6, ["label_has_lowercase_words", "value_is_list"]),
+        3: (0.4, ["single_word_label", "value_truncated", "pairing_by_position_only"]),
+        4: (1.0, []),
+    }
