@@ -85,6 +85,12 @@ def page_range(c: Column) -> Column:
     return F.transform(F.array(tokens), read)[0]
 
 
+def paragraphs(text: Column) -> Column:
+    """Paragraphs at blank lines: wrapped lines rejoined, words that a hyphen broke glued, blanks as one."""
+    glued = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "([a-z])-\n([a-z])", "$1$2"), r"\s+", " "))
+    return F.transform(F.split(text, "\n[ \t]*\n"), glued)
+
+
 def intent(c: Column) -> Column:
     """summary, table, question or fields: the first that an instruction's words suggest."""
     text = F.lower(F.coalesce(c, F.lit("")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from folioflux.functions import text as tx
 from folioflux.operators import sequence as seq
 from folioflux.plans.catalog import query
 
@@ -64,11 +65,15 @@ def page_density(t):
     return m.select("doc_id", "lines", "middle", F.when(F.col("lines") < 2, "single").when(F.col("middle") < 40, "sparse").when(F.col("middle") > 200, "dense").otherwise("normal").alias("density"))
 
 
-@query("character_conservation", r"""SELECT doc_id, length(regexp_replace(text, '\s+', '', 'g')) AS before, CAST(list_sum(list_transform(string_split(text, chr(10)), lambda x: length(regexp_replace(x, '\s+', '', 'g')))) AS BIGINT) AS after FROM documents""")
+@query("character_conservation", r"""WITH p AS (SELECT doc_id, text, list_transform(regexp_split_to_array(text, '\n[ \t]*\n'), lambda x: trim(regexp_replace(regexp_replace(x, '([a-z])-\n([a-z])', '\1\2', 'g'), '\s+', ' ', 'g'))) AS p FROM documents)
+SELECT doc_id, length(regexp_replace(text, '\s+', '', 'g')) AS before, CAST(list_sum(list_transform(p, lambda x: length(regexp_replace(x, '\s+', '', 'g')))) AS BIGINT) AS after,
+  CAST((length(text) - length(regexp_replace(text, '[a-z]-\n[a-z]', '', 'g'))) // 4 AS BIGINT) AS glued FROM p""")
 def character_conservation(t):
-    """Characters other than blanks in a text and in the lines it was cut into: none may be lost."""
+    """Characters other than blanks in a text and in the paragraphs it became: what is missing are hyphens of words that
+    were glued together, which are counted beside."""
     bare = lambda c: F.length(F.regexp_replace(c, r"\s+", ""))
-    return t("documents").select("doc_id", bare(F.col("text")).cast("long").alias("before"), F.aggregate(F.split("text", "\n"), F.lit(0).cast("long"), lambda n, x: n + bare(x)).alias("after"))
+    after = F.aggregate(tx.paragraphs(F.col("text")), F.lit(0).cast("long"), lambda n, x: n + bare(x))
+    return t("documents").select("doc_id", bare(F.col("text")).cast("long").alias("before"), after.alias("after"), F.regexp_count("text", F.lit("[a-z]-\n[a-z]")).cast("long").alias("glued"))
 
 
 @query("repeated_rows", "SELECT conv_id, turn, text = lag(text) OVER w IS TRUE AS repeats_last, row_number() OVER (PARTITION BY conv_id, text ORDER BY turn) > 1 AS seen FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from folioflux.operators import portfolio as pf
 from folioflux.operators import validation as val
 from folioflux.plans.catalog import query
 from folioflux.streaming import jobs
@@ -42,3 +43,24 @@ def validation_report(t):
     rules = [val.violations(n, e, F.expr(c)) for n, e, c in RULES]
     rules += [val.between("rows", "there are items", F.count("*"), 1, 1e18), val.between("mean_quantity", "the mean quantity lies in 20 to 30", F.avg("l_quantity"), 20, 30)]
     return val.report(t("lineitem"), rules).withColumn("value", F.round("value", 6))
+
+
+_DAY = "2000-06-15"
+
+
+@query("portfolio_bundle", f"""WITH d AS (SELECT o_orderkey, o_orderdate, o_totalprice, o_custkey, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'queued' END ELSE 'failed' END AS status,
+  CASE WHEN o_orderkey % 2 = 0 THEN CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE o_orderpriority END WHEN o_orderkey % 7 = 0 THEN NULL ELSE 'order' END AS kind FROM orders),
+r AS (SELECT 'mix' AS section, coalesce(kind, CASE WHEN o_orderkey % 7 = 0 THEN 'Unclassified' ELSE 'order' END) AS name, count(*) AS n, 0.0::DOUBLE AS total FROM d GROUP BY ALL
+  UNION ALL SELECT 'status', s, (SELECT count(*) FROM d WHERE CASE WHEN status = 'completed' THEN 'processed' WHEN status = 'failed' THEN 'failed' WHEN status IS NULL THEN 'not_processed' ELSE 'processing' END = s), 0.0 FROM (VALUES ('processed'), ('failed'), ('not_processed'), ('processing')) v(s)
+  UNION ALL (SELECT 'month', strftime(o_orderdate, '%Y-%m') AS m, count(*), 0.0 FROM d GROUP BY m ORDER BY m DESC LIMIT 12)
+  UNION ALL SELECT 'today', 'uploads', count(*), coalesce(sum(o_custkey % 40), 0)::DOUBLE FROM d WHERE CAST(o_orderdate AS DATE) = DATE '{_DAY}'
+  UNION ALL SELECT 'processing', 'durations', count(*), coalesce(sum(o_orderkey % 100), 0)::DOUBLE FROM d WHERE o_orderkey % 100 > 0
+  UNION ALL SELECT 'duplicates', 'checksums', count(*), coalesce(sum(c), 0)::DOUBLE FROM (SELECT count(*) AS c FROM d GROUP BY o_custkey HAVING count(*) > 1))
+SELECT * FROM r""")
+def portfolio_bundle(t):
+    """All that a portfolio shows, with orders as documents and half of their priorities as families."""
+    key, low = F.col("o_orderkey"), F.col("o_orderpriority") == "5-LOW"
+    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", F.when(key % 3 != 0, "queued")).otherwise("failed")
+    docs = t("orders").select(key.alias("id"), status.alias("status"), F.when(key % 7 != 0, "order").alias("type"), F.col("o_orderdate").alias("uploaded_at"), (F.col("o_custkey") % 40).alias("pages"), (key % 100).alias("seconds"), F.col("o_custkey").alias("checksum"))
+    families = t("orders").where("o_orderkey % 2 = 0").select(key.alias("id"), F.when(low, "unknown").otherwise("priority").alias("family"), F.when(~low, F.col("o_orderpriority")).alias("label"))
+    return pf.bundle(docs, families, _DAY)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from folioflux.functions import text as tx
 from folioflux.operators import references as refs
 from folioflux.operators import sequence as seq
 from folioflux.plans.catalog import query
@@ -95,12 +96,11 @@ def session_windows(t):
 @query("streaming_dedup", "SELECT user_id, event_type, min(ts) AS ts FROM events GROUP BY 1, 2")
 def streaming_dedup(t):
     """The first event of each kind of each user."""
-    return t("events").groupBy("user_id", "event_type").agg(F.min("ts").alias("ts"))
+    return ev.first_of_each(t("events").select("user_id", "event_type", "ts"), ["user_id", "event_type"])
 
 
 @query("paragraph_join", r"""SELECT doc_id, len(p) AS n, md5(array_to_string(list_transform(p, lambda x: trim(regexp_replace(regexp_replace(x, '([a-z])-\n([a-z])', '\1\2', 'g'), '\s+', ' ', 'g'))), chr(10))) AS text
 FROM (SELECT doc_id, regexp_split_to_array(text, '\n[ \t]*\n') AS p FROM documents)""")
 def paragraph_join(t):
     """Paragraphs at blank lines; wrapped lines rejoined, words that a hyphen broke glued."""
-    glued = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "([a-z])-\n([a-z])", "$1$2"), r"\s+", " "))
-    return t("documents").select("doc_id", F.split("text", "\n[ \t]*\n").alias("p")).select("doc_id", F.size("p").cast("long").alias("n"), F.md5(F.array_join(F.transform("p", glued), "\n")).alias("text"))
+    return t("documents").select("doc_id", tx.paragraphs(F.col("text")).alias("p")).select("doc_id", F.size("p").cast("long").alias("n"), F.md5(F.array_join("p", "\n")).alias("text"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, app: str = "folioflux") -> SparkSession:
-    """A local session: UTC, AQE on, Arrow on, and ANSI off so that casts of dirty values give null."""
+    """A local session: UTC, AQE on, Arrow on. ANSI stays as Spark has it: dirty values are cast with try_cast."""
     return (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)

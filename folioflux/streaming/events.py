@@ -23,8 +23,12 @@ def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "10 minute
 
 
 def first_of_each(events: DataFrame, keys: list[str], delay: str = "1 day") -> DataFrame:
-    """A stream without repeats of `keys` within the watermark; a table without any repeats."""
-    return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
+    """A stream without repeats of `keys` within the watermark; of a table the earliest row of each, by `ts` and then all
+    columns."""
+    if events.isStreaming:
+        return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
+    rest = [c for c in events.columns if c not in keys and c != "ts"]
+    return events.groupBy(*keys).agg(F.min(F.struct("ts", *rest)).alias("_e")).select(*[F.col(c) if c in keys else F.col(f"_e.{c}") for c in events.columns])
 
 
 def stale(jobs: DataFrame, now: str, limit_minutes: int = 30) -> DataFrame:

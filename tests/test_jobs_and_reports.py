@@ -63,3 +63,17 @@ def test_sketches_keep_their_error(spark, repeats):
     got = {r.check: r for r in val.report(df, checks).collect()}
     assert abs(got["distinct"].value * repeats - 1) < 0.03 and got["distinct"].result == ("PASS" if repeats == 1 else "REVIEW")
     assert abs(got["median"].value - n / 2) <= n / 500 and got["median"].result == "PASS"
+
+
+def test_portfolio_of_odd_rows(spark):
+    from folioflux.operators import portfolio as pf
+
+    at = datetime.datetime(2024, 5, 1, 9)
+    docs = spark.createDataFrame([(1, "completed", "Invoice", at, 3, 2.5, "a"), (2, None, None, at, None, None, "a"), (3, "failed", "", None, 1, 0.0, None), (4, "odd", "Lease", datetime.datetime(2023, 1, 1), 1, 1.0, "b")], "id int, status string, type string, uploaded_at timestamp, pages int, seconds double, checksum string")
+    families = spark.createDataFrame([(1, "unknown", "x"), (2, "lease", ""), (4, "contract", "Contracts"), (4, "contract", "Contracts"), (None, "z", "z")], "id int, family string, label string")
+    got = {(r.section, r.name): (r.n, r.total) for r in pf.bundle(docs, families, "2024-05-01").collect()}
+    assert got == {
+        ("mix", "Invoice"): (1, 0.0), ("mix", "lease"): (1, 0.0), ("mix", "Unclassified"): (1, 0.0), ("mix", "Contracts"): (1, 0.0), ("status", "processed"): (1, 0.0), ("status", "failed"): (1, 0.0), ("status", "not_processed"): (1, 0.0), ("status", "processing"): (1, 0.0),
+        ("month", "2024-05"): (2, 0.0), ("month", "2023-01"): (1, 0.0), ("today", "uploads"): (2, 3.0), ("processing", "durations"): (2, 3.5), ("duplicates", "checksums"): (1, 2.0),
+    }
+    assert {(r.section, r.n) for r in pf.bundle(docs.limit(0), families, "2024-05-01").collect()} == {("status", 0), ("today", 0), ("processing", 0), ("duplicates", 0)}
