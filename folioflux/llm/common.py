@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from functools import cache
-from itertools import count
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,24 +37,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    tidied(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Tables staged between two cleanings of the driver.
-TIDY = 6
-_staged = count(1)
-
-
-def tidied(spark: SparkSession) -> None:
-    """Spark removes shuffle files and broadcasts when the driver's garbage shows that nobody refers to them. Operators that
-    stage round after round leave many, and a driver with room to spare may not collect for long: so every few tables it
-    is asked to, which keeps executors' disks and the driver's memory at what is in use."""
-    if next(_staged) % TIDY == 0:
-        gc.collect()  # Python's side of the references
-        spark.sparkContext._jvm.System.gc()
-
-
 def bitmap(keys: DataFrame, key: str, bits: int) -> DataFrame:
     """The 64-bit hashes in column `key` as a bitmap of 2**bits bits: at most 2**(bits-12) rows (_w, _bits) of 64 words of 64
     bits, whatever the number of keys, so that it may be broadcast. Few rows with long arrays take a fifth of the memory
