@@ -57,6 +57,18 @@ def selected(records: DataFrame, manifest: DataFrame, fields: list[str], identif
     return picked.orderBy(order).select(identifier, *[F.when(F.array_contains("_fields", f), F.col(f)).alias(f) for f in fields])
 
 
+def normalized_document(fields: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """key and document: JSON of {fields: {name: value}, tables: {name: [rows]}} of each document in `fields` (key, name,
+    value, place) or `rows` (key, table, place, cells as a map). The prefix kv_ of names is dropped; of fields of one name
+    the last by place counts; names and rows are sorted. A document without tables has none in its JSON."""
+    named = fields.where("name is not null").withColumn("_name", F.regexp_replace("name", "^kv_", ""))
+    last = named.groupBy(key, "_name").agg(F.max_by("value", "place").alias("_v"))
+    maps = last.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_name", "_v")))).alias("fields"))
+    tables = rows.groupBy(key, "table").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.to_json("cells").alias("c")))), lambda x: x["c"]).alias("_rows"))
+    lists = tables.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("table", "_rows")))).alias("tables"))
+    return maps.join(lists, key, "full_outer").select(key, F.to_json(F.struct("fields", "tables")).alias("document"))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 

@@ -92,6 +92,19 @@ def margin_templates(blocks: DataFrame, keys: list[str], share: float = TEMPLATE
     return counts.join(pages, keys).where(F.col("pages") >= F.greatest(F.lit(TEMPLATE_PAGES), F.floor(F.col("_pages") * share))).select(*keys, "template", "pages")
 
 
+#: Lines that stand on this share of the pages, and on three, are stripped; documents of fewer pages are left alone (fixed).
+RUNNING_SHARE, RUNNING_PAGES = 0.30, 3
+
+
+def without_running_lines(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """`blocks` as margin_templates() takes them, without those in the margins whose text, digits aside, runs through a
+    document. The join is on the document and the text, so that the running lines themselves meet in many tasks."""
+    running = margin_templates(blocks, keys, RUNNING_SHARE).select(*keys, F.col("template").alias("_t"), F.lit(True).alias("_runs"))
+    margin = (F.col("height") > 0) & ((F.col("y0") <= F.col("height") * MARGIN) | (F.col("y1") >= F.col("height") * (1 - MARGIN)))
+    masked = blocks.withColumn("_t", F.when(margin, F.regexp_replace(F.lower(F.trim("text")), "[0-9]", "#")))
+    return masked.join(running, [*keys, "_t"], "left").where("_runs is null").select(*blocks.columns)
+
+
 def toc_line(text: Column) -> Column:
     """Whether a line is an entry of a table of contents: a text, a leader of points or a wide gap, and a page number."""
     t = F.trim(F.coalesce(text, F.lit("")))

@@ -52,6 +52,18 @@ def roots(edges: DataFrame, child: str, parent: str, deepest: int = 1 << 20) ->
             return at.where("not _open").select(F.col("node").alias(child), F.coalesce("up", "node").alias("root"), F.col("depth").cast("int").alias("depth"))
 
 
+def on_cycles(edges: DataFrame, child: str, parent: str) -> DataFrame:
+    """The children that are their own ancestors. Each child has one parent here; steps are doubled until every climb is
+    longer than there are edges: where climbs then stand are the cycles, whatever leads into them."""
+    at = checkpointed(edges.where(F.col(child).isNotNull() & F.col(parent).isNotNull()).select(F.col(child).alias("node"), F.col(parent).alias("up")))
+    total, steps = at.count(), 1
+    while steps <= total:
+        above = at.select(F.col("node").alias("_n"), F.col("up").alias("_u"))
+        at = checkpointed(at.join(above, F.col("up") == F.col("_n")).select("node", F.col("_u").alias("up")))  # who climbs out is on no cycle
+        steps *= 2
+    return at.select(F.col("up").alias(child)).distinct()
+
+
 def upsert_reviewed(existing: DataFrame, incoming: DataFrame, keys: list[str], value: str = "value", status: str = "status") -> DataFrame:
     """The table after a re-extraction: new keys are added as pending, pending values overwritten, reviewed values kept;
     where a kept value differs from the new one the row is pending again, with the reason. One full outer join."""

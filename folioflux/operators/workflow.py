@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflux.operators.relational import on_cycles
+
 #: Status after a review action. Fixed values.
 STATUS_AFTER = {"accept": "accepted", "edit": "accepted", "reject": "rejected", "mark_unknown": "unknown"}
 
@@ -55,3 +57,28 @@ def reusable(runs: DataFrame, documents: DataFrame, content: str, version: int)
     done = runs.where("status = 'done'").groupBy(content).agg(F.max(F.when(F.col("version") == version, F.col("run_id"))).alias("reuse_run"), F.max("version").alias("latest"))
     decision = F.when(F.col("reuse_run").isNotNull(), "reuse").when(F.col("latest").isNotNull(), "rebuild").otherwise("run")
     return documents.join(done, content, "left").withColumn("decision", decision)
+
+
+def relationship_writes(relations: DataFrame, actions: DataFrame) -> DataFrame:
+    """child, parent, status, outcome and audit of `relations` (child, parent, status: pending, confirmed or rejected; one a
+    child) after `actions` (child, action, actor): confirm, reject or remove.
+
+    Only a pending relation can be confirmed or rejected, only a confirmed one removed (it is pending again); of several
+    actions on a child the first by name counts. A confirmation that would close a cycle with confirmed relations, or
+    with others confirmed at once, is refused. An action on no relation leaves nothing. audit names who did what."""
+    asked = actions.where("child is not null").groupBy("child").agg(F.min(F.struct("action", "actor")).alias("_a")).select("child", F.col("_a.action").alias("action"), F.col("_a.actor").alias("actor"))
+    now = relations.join(asked, "child", "left")
+    may = ((F.col("status") == "pending") & F.col("action").isin("confirm", "reject")) | ((F.col("status") == "confirmed") & (F.col("action") == "remove"))
+    stays = (F.col("status") == "confirmed") & ~F.coalesce(may, F.lit(False))
+    tree = now.where(stays | (may & (F.col("action") == "confirm"))).select("child", "parent")
+    rings = on_cycles(tree, "child", "parent").withColumn("_ring", F.lit(True))
+    known = now.join(rings, "child", "left").withColumn("_may", F.coalesce(may, F.lit(False)))
+    refused = F.when(~F.col("_may"), "not_allowed").when((F.col("action") == "confirm") & F.col("_ring").isNotNull(), "cycle")
+    after = F.when(F.col("action") == "confirm", "confirmed").when(F.col("action") == "reject", "rejected").otherwise("pending")
+    outcome = F.when(F.col("action").isNotNull(), F.coalesce(refused, F.lit("done")))
+    return known.select("child", "parent", F.when(outcome == "done", after).otherwise(F.col("status")).alias("status"), outcome.alias("outcome"), F.when(outcome == "done", F.concat_ws(" ", "actor", "action")).alias("audit"))
+
+
+def promotion(approved_at: Column, promoted_at: Column) -> Column:
+    """promoted, approved or draft, by what has been stamped."""
+    return F.when(promoted_at.isNotNull(), "promoted").when(approved_at.isNotNull(), "approved").otherwise("draft")
