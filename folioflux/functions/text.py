@@ -146,8 +146,8 @@ def value_type_sql(v: str) -> str:
     top = f"reverse(split_part(reverse({host}), '.', 1))"
     email = f"length({v}) - length(replace({v}, '@', '')) = 1 AND {user} <> '' AND {_only(user, _DIGITS + _UPPER + _LOWER + '._%+-')} AND {_only(host, _DIGITS + _UPPER + _LOWER + '.-')} AND length({host}) > length({top}) + 1 AND length({top}) >= 2 AND {_only(top, _UPPER + _LOWER)}"
 
-    local = [f"{o}999{c}{s}999{t}9999" for o, c in (("", ""), ("(", ")")) for s in ("", " ", ".", "-") for t in ("", " ", ".", "-")]
-    phone = _in(mask, local + [f"+{'9' * n}{s}{x}" for n in (1, 2, 3) for s in ("", " ", ".", "-") for x in local])
+    local = [f"{o}999{c}{s}999{t}9999" for o, c in (("", ""), ("(", ")")) for s in ("", "-") for t in ("", "-")]
+    phone = _in(f"translate({mask}, ' .', '--')", local + [f"+{'9' * n}{s}{x}" for n in (1, 2, 3) for s in ("", "-") for x in local])
 
     bare = f"trim(translate({v}, '%', ''))"
     percentage = f"right({v}, 1) = '%' AND length({v}) - length(translate({v}, '%', '')) = 1 AND {_number(bare)} AND strpos_({bare}, ',') = 0".replace("strpos_(", "instr(")
@@ -160,18 +160,18 @@ def value_type_sql(v: str) -> str:
     grouped = _in(f"translate({_mask(inner)}, '-', '')", ["9" * n + ",999" * k for n in (1, 2, 3) for k in range(1, 8)])
     currency = f"({unsigned} <> '' AND ({signed} OR {cents} OR {grouped}))"
 
-    numeric = ["9999-99-99", *("9" * a + s + "9" * b + t + "9" * y for a in (1, 2) for b in (1, 2) for y in (2, 3, 4) for s in "/-" for t in "/-")]
-    named = ["9" * d + s + "a" * k + p + t + "9" * y for d in (1, 2) for k in range(3, 10) for p in ("", ".") for y in (2, 3, 4) for s in " -" for t in " -"]
-    named += ["a" * k + p + " " + "9" * d + c + " 9999" for k in range(3, 10) for p in ("", ".") for d in (1, 2) for c in ("", ",")]
+    numeric = ["9999-99-99", *("9" * a + "/" + "9" * b + "/" + "9" * y for a in (1, 2) for b in (1, 2) for y in (2, 3, 4))]
+    numeric_mask = lambda m: f"(CASE WHEN {m} = '9999-99-99' THEN {m} ELSE translate({m}, '-', '/') END)"
+    named = ["9" * d + "-" + "a" * k + "-" + "9" * y for d in (1, 2) for k in range(3, 10) for y in (2, 3, 4)] + ["a" * k + "-" + "9" * d + "-9999" for k in range(3, 10) for d in (1, 2)]
     month = _in(f"left(lower(translate({v}, '{_DIGITS} .,-', '')), 3)", _MONTHS)
-    date = f"({_in(mask, numeric)} OR {_in(mask, named)} AND {month})"
+    date = f"({_in(numeric_mask(mask), numeric)} OR {_in(f"translate({mask}, ' .,', '-')", named)} AND {month})"
 
     blank = f"translate({v}, 'T,', '  ')"
     first = f"split_part({blank}, ' ', 1)"
     time = f"trim(substring({blank}, length({first}) + 1))"
     times = [h + ":99" + s + e for h in ("9", "99") for s in ("", ":99") for e in ("", "aa", " aa")]
     half = _in(f"lower(translate({time}, '{_DIGITS}: ', ''))", ("", "am", "pm"))
-    datetime = f"{_in(_mask(first), numeric)} AND {_in(_mask(time), times)} AND {half}"
+    datetime = f"{_in(numeric_mask(_mask(first)), numeric)} AND {_in(_mask(time), times)} AND {half}"
 
     words = f"length({v}) - length(replace({v}, ' ', '')) >= 2"
     state = lambda n: f"upper(substring({v}, length({v}) - {n - 1}, 2)) = substring({v}, length({v}) - {n - 1}, 2) AND translate(left({v}, greatest(length({v}) - {n}, 0)), '{_DIGITS}', '') <> left({v}, greatest(length({v}) - {n}, 0))"
@@ -180,7 +180,9 @@ def value_type_sql(v: str) -> str:
     identifier = f"length({v}) BETWEEN {IDENTIFIER[0]} AND {IDENTIFIER[1]} AND {_only(v, _DIGITS + _UPPER + _LOWER + '#/._-')} AND {_in(f'left({mask}, 1)', '9a')} AND translate({v}, '{_DIGITS}', '') <> {v}"
 
     rules = (("email", email), ("phone", phone), ("percentage", percentage), ("currency", currency), ("date", date), ("datetime", datetime), ("number", _number(v)), ("boolean", _in(f"lower({v})", YES_NO)), ("address", address), ("identifier", identifier))
-    return "CASE " + " ".join(f"WHEN {rule} THEN '{kind}'" for kind, rule in rules) + " ELSE 'text' END"
+    # all but yes or no and plain text have a digit or an @: most values of a text are settled by the first test
+    words_only = f"WHEN translate({v}, '{_DIGITS}@', '') = {v} THEN CASE WHEN {_in(f'lower({v})', YES_NO)} THEN 'boolean' ELSE 'text' END "
+    return "CASE " + words_only + " ".join(f"WHEN {rule} THEN '{kind}'" for kind, rule in rules) + " ELSE 'text' END"
 
 
 def value_type(c: Column) -> Column:
