@@ -125,16 +125,14 @@ def _only(x: str, chars: str) -> str:
     return f"translate({x}, '{chars}', '') = ''"
 
 
-def _number(x: str) -> str:
+def _number(x: str, matches: str) -> str:
     """Digits, commas after the first, one point with digits behind it; a minus may lead."""
-    core = f"CASE WHEN left({x}, 1) = '-' THEN substring({x}, 2) ELSE {x} END"
-    whole, part, points = f"split_part({core}, '.', 1)", f"split_part({core}, '.', 2)", f"length({core}) - length(translate({core}, '.', ''))"
-    return f"(left({core}, 1) BETWEEN '0' AND '9' AND {_only(whole, _DIGITS + ',')} AND ({points} = 0 OR ({points} = 1 AND {part} <> '' AND {_only(part, _DIGITS)})))"
+    return f"{matches}({x}, '^-?[0-9][0-9,]*([.][0-9]+)?$')"
 
 
-def value_type_sql(v: str) -> str:
-    """The shape of the value `v` (a column's name), as SQL that Spark and others read alike: each rule strips what it knows
-    and looks at what is left, or compares the mask of the value with the masks of its kind. The first rule that fits counts.
+def value_type_sql(v: str, matches: str = "regexp_like") -> str:
+    """The shape of the value `v` (a column's name), as SQL that Spark and others read alike, but for the name of the function
+    that tests a pattern: each rule strips what it knows and looks at what is left, or compares the mask of the value with the masks of its kind. The first rule that fits counts.
 
     email: two parts at one @, the second with a point and letters at its end. phone: ten digits in groups of 3, 3 and 4,
     joined or not; with a country's digits after a plus. percentage: a number and %. currency: a number with a sign or
@@ -150,13 +148,13 @@ def value_type_sql(v: str) -> str:
     phone = _in(f"translate({mask}, ' .', '--')", local + [f"+{'9' * n}{s}{x}" for n in (1, 2, 3) for s in ("", "-") for x in local])
 
     bare = f"trim(translate({v}, '%', ''))"
-    percentage = f"right({v}, 1) = '%' AND length({v}) - length(translate({v}, '%', '')) = 1 AND {_number(bare)} AND strpos_({bare}, ',') = 0".replace("strpos_(", "instr(")
+    percentage = f"right({v}, 1) = '%' AND length({v}) - length(translate({v}, '%', '')) = 1 AND {_number(bare, matches)} AND strpos_({bare}, ',') = 0".replace("strpos_(", "instr(")
 
     inner = f"trim(CASE WHEN left({v}, 1) = '(' THEN translate({v}, '()', '') ELSE {v} END)"
     unsigned = f"trim(CASE WHEN left({inner}, 1) = '-' THEN substring({inner}, 2) ELSE {inner} END)"
-    signed = f"(instr('{CURRENCY_SIGNS}', left({unsigned}, 1)) > 0 AND {_number(f'trim(substring({unsigned}, 2))')} OR {_in(f'lower(left({unsigned}, 3))', CURRENCY_CODES)} AND {_number(f'trim(substring({unsigned}, 4))')})"
+    signed = f"(instr('{CURRENCY_SIGNS}', left({unsigned}, 1)) > 0 AND {_number(f'trim(substring({unsigned}, 2))', matches)} OR {_in(f'lower(left({unsigned}, 3))', CURRENCY_CODES)} AND {_number(f'trim(substring({unsigned}, 4))', matches)})"
     amount = f"trim(CASE WHEN {_in(f'lower(right({v}, 3))', CURRENCY_CODES)} THEN left({v}, length({v}) - 3) ELSE {v} END)"
-    cents = f"({_number(amount)} AND right({_mask(amount)}, 3) = '.99')"
+    cents = f"({_number(amount, matches)} AND right({_mask(amount)}, 3) = '.99')"
     grouped = _in(f"translate({_mask(inner)}, '-', '')", ["9" * n + ",999" * k for n in (1, 2, 3) for k in range(1, 8)])
     currency = f"({unsigned} <> '' AND ({signed} OR {cents} OR {grouped}))"
 
@@ -179,7 +177,7 @@ def value_type_sql(v: str) -> str:
     address = f"{words} AND (right({mask}, 9) = ' aa 99999' AND {state(8)} OR right({mask}, 14) = ' aa 99999-9999' AND {state(13)} OR {box})"
     identifier = f"length({v}) BETWEEN {IDENTIFIER[0]} AND {IDENTIFIER[1]} AND {_only(v, _DIGITS + _UPPER + _LOWER + '#/._-')} AND {_in(f'left({mask}, 1)', '9a')} AND translate({v}, '{_DIGITS}', '') <> {v}"
 
-    rules = (("email", email), ("phone", phone), ("percentage", percentage), ("currency", currency), ("date", date), ("datetime", datetime), ("number", _number(v)), ("boolean", _in(f"lower({v})", YES_NO)), ("address", address), ("identifier", identifier))
+    rules = (("email", email), ("phone", phone), ("percentage", percentage), ("currency", currency), ("date", date), ("datetime", datetime), ("number", _number(v, matches)), ("boolean", _in(f"lower({v})", YES_NO)), ("address", address), ("identifier", identifier))
     # all but yes or no and plain text have a digit or an @: most values of a text are settled by the first test
     words_only = f"WHEN translate({v}, '{_DIGITS}@', '') = {v} THEN CASE WHEN {_in(f'lower({v})', YES_NO)} THEN 'boolean' ELSE 'text' END "
     return "CASE " + words_only + " ".join(f"WHEN {rule} THEN '{kind}'" for kind, rule in rules) + " ELSE 'text' END"

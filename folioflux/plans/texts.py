@@ -50,7 +50,7 @@ def entity_extract(t):
     return e.select("doc_id", *[F.size(f"e.{k}").cast("long").alias(k) for k in ("emails", "phones", "money")])
 
 
-@query("value_types", f"""SELECT {tx.value_type_sql('v')} AS kind, CAST(sum(n) AS BIGINT) AS n
+@query("value_types", f"""SELECT {tx.value_type_sql('v', 'regexp_matches')} AS kind, CAST(sum(n) AS BIGINT) AS n
 FROM (SELECT v, count(*) AS n FROM (SELECT trim(unnest(string_split(replace(text, chr(10), ' '), ' '))) AS v FROM documents) WHERE v <> '' GROUP BY v) GROUP BY 1""")
 def value_types(t):
     """Shapes of all tokens, counted: each different token is classified once."""
