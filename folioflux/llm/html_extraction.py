@@ -59,9 +59,13 @@ def names_of(attrs: dict[str, str | None]) -> list[list[str]]:
     return [[w.lower() for w in _CAMEL.split(x) if w] for x in found]
 
 
+def hidden(attrs: dict[str, str | None]) -> bool:
+    return "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style") or "", re.I))
+
+
 def stands_around(tag: str, attrs: dict[str, str | None], in_article: bool) -> bool:
     """Whether the element is furniture of the page or hidden, by its tag, role, class and id."""
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style") or "", re.I):
+    if hidden(attrs):
         return tag not in ("html", "body")
     if tag in ("html", "body"):
         return False
@@ -75,6 +79,10 @@ def stands_around(tag: str, attrs: dict[str, str | None], in_article: bool) -> b
         return False
     if not in_article and (tag == "header" or any(x and x[-1] in HEADS and not CONTENT & set(x[:-1]) for x in names)):
         return True
+    return around_by_name(names)
+
+
+def around_by_name(names: list[list[str]]) -> bool:
     if any(len(x) == 1 and x[0] in CONTENT for x in names):
         return False
     return any(w in AROUND and not BESIDE & set(x) for x in names for w in x)
@@ -87,17 +95,19 @@ class Node:
     around: bool
     closed: bool = False
     article: bool = False
+    named: bool = False  # stands around by its class or id only
 
 
 @dataclass
 class Line:
-    """A line's text, the element it stands in, the tags since the line before, and how many characters are in links."""
+    """A line's text, the element it stands in, the tags since the line before, how many characters are in links, and the
+    level of a heading (0 for none)."""
 
     text: str
     node: int
     tags: int
     linked: int
-    heading: bool
+    heading: int
 
 
 @dataclass
@@ -118,7 +128,7 @@ class Reader(HTMLParser):
         self.stack = [Open("", 0)]
         self.parts: list[str] = []
         self.tags = self.linked = self.muted = 0
-        self.heading = self.in_link = False
+        self.heading, self.in_link = 0, False
         self.in_article = 0
         self.open: Counter[str] = Counter()
 
@@ -139,7 +149,7 @@ class Reader(HTMLParser):
             self.lines.append(Line(text, self.stack[-1].node, self.tags, self.linked, self.heading))
             self.tags = 0
         self.parts.clear()
-        self.linked, self.heading = 0, False
+        self.linked = self.heading = 0
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
@@ -150,7 +160,7 @@ class Reader(HTMLParser):
             self.parts.append(" ")
         if block:
             self.cut()
-            self.heading = len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
+            self.heading = int(tag[1]) if len(tag) == 2 and tag[0] == "h" and tag[1].isdigit() else 0
             if self.stack[-1].tag == "p":
                 self._pop()
             if tag == "li" and self.open[tag]:  # its end tag may be left out
@@ -173,10 +183,11 @@ class Reader(HTMLParser):
             self._push(Open(tag, top.node if not block else self._node(tag, True), inline=not block))
             self.muted += not block
             return
-        self._push(Open(tag, self._node(tag, around, not around and (tag in ("article", "main") or ("role", "main") in attrs or ("role", "article") in attrs))))
+        article = not around and (tag in ("article", "main") or ("role", "main") in attrs or ("role", "article") in attrs)
+        self._push(Open(tag, self._node(tag, bool(around), article, bool(around) and tag == "div" and around_by_name(names_of(dict(attrs))) and not hidden(dict(attrs)))))
 
-    def _node(self, tag: str, around: bool, article: bool = False) -> int:
-        self.nodes.append(Node(tag, self.stack[-1].node, around, article=article))
+    def _node(self, tag: str, around: bool, article: bool = False, named: bool = False) -> int:
+        self.nodes.append(Node(tag, self.stack[-1].node, around, article=article, named=named))
         self.in_article += article
         return len(self.nodes) - 1
 
@@ -269,9 +280,17 @@ def main_region(reader: Reader) -> Region:
     nodes, lines = reader.nodes, reader.lines
     if not lines:
         return Region()
-    below = [n.article or n.tag == "h1" for n in nodes]  # whether the element holds an article or its title
+    below = [n.article for n in nodes]  # whether the element holds an article or its title
+    main, letters = [n.article and n.tag == "main" for n in nodes], [0] * len(nodes)
+    for x in lines:
+        letters[x.node] += len(x.text)
+        below[x.node] |= x.heading == 1
     for i in range(len(nodes) - 1, 0, -1):
-        below[nodes[i].parent] |= below[i]
+        up = nodes[i].parent
+        below[up], main[up], letters[up] = below[up] or below[i], main[up] or main[i], letters[up] + letters[i]
+    for i, n in enumerate(nodes):  # a name may tell how the page is laid out: what holds the article isn't beside it
+        if n.named and n.tag == "div" and (main[i] or (below[i] and 2 * letters[i] > letters[0])):
+            n.around = False
     unclosed = [-1] * len(nodes)  # furniture that was never closed ends where an article begins
     for i, n in enumerate(nodes[1:], 1):
         if n.article and unclosed[n.parent] > 0:

@@ -37,6 +37,8 @@ PAGES = {
     "hidden and mute": f"<article><h1>{TITLE}</h1><script>if (a < b) document.write('<p>no</p>')</script><style>p {{}}</style>{BODY}<noscript><p>Turn on scripts.</p></noscript><p hidden>hidden</p><div style='display: none'>gone</div><svg><title>icon</title></svg><!-- note --></article>",
     "broken off": f"<article><h1>{TITLE}</h1>{BODY}<!-- never close",
     "inside divs": f"<div><div><div><h1>{TITLE}</h1></div>{''.join(f'<div><div>{x}</div></div>' for x in PARAGRAPHS)}</div><div>{MENU}</div></div>",
+    "named for its layout": f'<div class="content-sidebar-wrap"><main><h1>{TITLE}</h1>{BODY}</main><div class="sidebar-primary"><p>{COMMENT}</p></div></div>',
+    "layout without main": f'<div id="sidebar-layout"><div class="entry"><h1>{TITLE}</h1>{BODY}</div><div class="sidebar-box"><p>{COMMENT}</p></div></div>',
     "capitals": f"<BODY><NAV>{MENU}</NAV><ARTICLE><H1>{TITLE}</H1>{BODY}</ARTICLE></BODY>",
 }
 
