@@ -105,16 +105,17 @@ def without_running_lines(blocks: DataFrame, keys: list[str]) -> DataFrame:
     return masked.join(running, [*keys, "_t"], "left").where("_runs is null").select(*blocks.columns)
 
 
-def toc_line(text: Column) -> Column:
-    """Whether a line is an entry of a table of contents: a text, a leader of points or a wide gap, and a page number."""
+def toc_line(text: Column, digits: int = 4) -> Column:
+    """Whether a line is an entry of a table of contents: a text, a leader of points or a wide gap, and a page number of
+    `digits` digits at most (four as surveyed)."""
     t = F.trim(F.coalesce(text, F.lit("")))
-    return t.rlike(r"^\S.*[A-Za-z].*?(\.{3,}|\s{3,}|\. \. \.)[ .]*([0-9]{1,4}|[A-Z]-[0-9]{1,3}|[ivxl]{1,6})$")
+    return t.rlike(r"^\S.*[A-Za-z].*?(\.{3,}|\s{3,}|\. \. \.)[ .]*([0-9]{1,%d}|[A-Z]-[0-9]{1,3}|[ivxl]{1,6})$" % digits)
 
 
-def toc_pages(lines: DataFrame, keys: list[str]) -> DataFrame:
+def toc_pages(lines: DataFrame, keys: list[str], digits: int = 4) -> DataFrame:
     """keys, n_toc, n_lines, ratio and is_toc of each page `keys` from its lines (keys, text): three entries, or one below
-    a banner."""
+    a banner; page numbers have `digits` digits at most."""
     banner = F.contains(F.lower(F.trim("text")), F.lit("table of contents"))
-    n = lines.groupBy(*keys).agg(F.count_if(toc_line(F.col("text"))).alias("n_toc"), F.count_if(F.trim("text") != "").alias("n_lines"), F.max(banner).alias("_banner"))
+    n = lines.groupBy(*keys).agg(F.count_if(toc_line(F.col("text"), digits)).alias("n_toc"), F.count_if(F.trim("text") != "").alias("n_lines"), F.max(banner).alias("_banner"))
     ratio = F.when(F.col("n_lines") > 0, F.col("n_toc") / F.col("n_lines")).otherwise(F.lit(0.0))
     return n.select(*keys, "n_toc", "n_lines", ratio.alias("ratio"), ((F.col("n_toc") >= TOC_LINES) | (F.coalesce("_banner", F.lit(False)) & (F.col("n_toc") >= 1))).alias("is_toc"))

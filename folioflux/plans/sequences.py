@@ -54,11 +54,12 @@ def margin_templates(t):
 n AS (SELECT l_orderkey, count(*) FILTER (WHERE toc) AS n_toc, count(*) AS n_lines FROM l GROUP BY 1)
 SELECT l_orderkey, n_toc, n_lines, n_toc / n_lines::DOUBLE AS ratio, n_toc >= 3 AS is_toc FROM n""")
 def toc_density(t):
-    """Orders as pages, items as lines: entries with a leader or a gap before the page number, and sentences."""
+    """Orders as pages, items as lines: entries with a leader or a gap before the page number, and sentences. Page numbers are
+    keys of suppliers here, which may be as long as a bigint."""
     c = lambda *x: F.concat(*[F.lit(v) if v.startswith(" ") or v.endswith(" ") else F.col(v).cast("string") for v in x])
     third = F.col("l_linenumber") % 3
     text = F.when(third == 0, c("Section ", "l_partkey", " ........ ", "l_suppkey")).when(third == 1, c("Part of text ", "l_partkey", "   ", "l_linenumber")).otherwise(c("It costs ", "l_suppkey"))
-    return refs.toc_pages(t("lineitem").select("l_orderkey", text.alias("text")), ["l_orderkey"])
+    return refs.toc_pages(t("lineitem").select("l_orderkey", text.alias("text")), ["l_orderkey"], digits=19)
 
 
 @query("as_of_heading", """SELECT c.event_id, v.ts AS as_of, v.event_id AS view_id FROM (SELECT * FROM events WHERE event_type = 'click') c

@@ -40,3 +40,23 @@ def test_templates_and_contents(spark):
     lines = spark.createDataFrame([(1, "Section B .... 12"), (1, "Scope   iv"), (1, "Annex C . . . . A-3"), (1, "It was 12"), (2, "Table of Contents"), (2, "One ... 1"), (3, "One ... 1"), (3, "It ends here."), (4, "...... 7"), (4, None)], "page int, text string")
     assert sorted((r.page, r.n_toc, r.n_lines, r.is_toc) for r in refs.toc_pages(lines, ["page"]).collect()) == [(1, 3, 4, True), (2, 1, 2, True), (3, 1, 2, False), (4, 0, 1, False)]
     assert refs.margin_templates(blocks.where(F.lit(False)), ["doc"]).collect() == []
+
+
+def test_contents_with_long_page_numbers(spark):
+    """Page numbers as long as the caller says; four digits without a word."""
+    lines = spark.createDataFrame([(1, "Section 7 ........ 9999"), (1, "Section 7 ........ 10000"), (1, "Part of text 7   9223372036854775807"), (1, "It costs 10000")], "page int, text string")
+    assert [(r.n_toc, r.n_lines) for digits in (4, 19) for r in refs.toc_pages(lines, ["page"], digits=digits).collect()] == [(1, 4), (3, 4)]
+
+
+def test_toc_density_with_large_keys(spark, tmp_path):
+    """Suppliers' keys of five digits and more, as larger tables have them, against the SQL."""
+    import duckdb
+
+    from folioflux.plans import registry
+
+    rows = [(o, 5 + o * 10**6, s, n) for o, s in ((1, 9999), (2, 10000), (3, 9223372036854775807)) for n in range(1, 8)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    got = registry.QUERIES["toc_density"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == sorted(duck.sql(registry.ORACLES["toc_density"]).fetchall())
