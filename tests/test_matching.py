@@ -160,6 +160,26 @@ def test_vectors_exact_with_all_cells_and_recall_with_some(spark, sf_dir):
     assert shares[None] == 1 and shares[vectors.PROBES] >= 0.9
 
 
+def test_exact_vectors_meet_in_blocks(spark, monkeypatch):
+    """Blocks of a few rows each, copies whose cosines tie, lengths that differ and missing numbers: against all pairs by SQL
+    expressions, and no interpreted pair in the plan."""
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(60)] + [(100 + i, [0.3, -0.1, 0.7, 0.2, 0.9, 0.4]) for i in range(30)] + [(200, [1.0, 2.0]), (201, [0.0] * 6), (202, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (203, []), (204, None), (None, [1.0] * 6), (7, [1.0] * 6)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    for name, size in (("ASKED", 3), ("ENTERED", 17), ("SLICE", 2)):
+        monkeypatch.setattr(vectors, name, size)
+    asked = v.where("vec_id % 10 = 0 or vec_id in (7, 201, 202, 203)")
+    found = vectors.cosine_topk(asked.dropDuplicates(["vec_id"]), v, 5, probes=None)
+    assert "zip_with" not in found._jdf.queryExecution().toString()
+    got = sorted((r.query, r.rank, r.id, r.cosine is not None and round(r.cosine, 9) + 0.0) for r in found.collect())
+    pairs = asked.dropDuplicates(["vec_id"]).alias("a").crossJoin(v.alias("b")).where("a.vec_id <> b.vec_id and a.embedding is not null and b.embedding is not null")
+    scored = pairs.select(F.col("a.vec_id").alias("q"), F.col("b.vec_id").alias("i"), F.round(vectors.cosine(F.col("a.embedding"), F.col("b.embedding")), 9).alias("c"))
+    want, every = [], scored.collect()
+    for q in {r.q for r in every}:
+        want += [(q, n, r.i, r.c is not None and r.c + 0.0) for n, r in enumerate(sorted((r for r in every if r.q == q), key=lambda r: (r.c is None, -(r.c or 0), r.i))[:5], 1)]
+    assert got == sorted(want)
+
+
 def test_odd_vectors(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [-1.0, 0.0])], "vec_id long, embedding array<double>")
     got = [(r.query, r.rank, r.id, r.cosine) for r in vectors.cosine_topk(v.where("vec_id in (1, 4)"), v, 3, probes=None).orderBy("rank").collect()]
