@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -208,10 +209,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     read = staged(map_texts(picked, "_t", "whole array<int>, head array<int>", make, ["_id", "_y", "_lang"]).select("_row._id", "_row._y", "_row._lang", "whole", "head"), "toxicity-train")
     got = within(read, read.select("_id", F.lit(0).alias("_g"), F.xxhash64("_id", F.lit(1)).alias("_o"), F.size("whole").alias("_n")), max_words).toArrow()
-    got = got.sort_by([("_id", "ascending")]) if got.num_rows else got
-    y = got["_y"].to_numpy().astype(np.int64) if got.num_rows else np.zeros(0, dtype=np.int64)
-    rows = [[np.asarray(x.values) for x in got[c]] for c in ("whole", "head")] if got.num_rows else [[], []]
-    seqs = [(a.astype(np.int32), b.astype(np.int32)) for a, b in zip(*rows, strict=True)]
+    order = pc.sort_indices(got["_id"]).to_numpy() if got.num_rows else np.zeros(0, dtype=np.int64)
+    y = got["_y"].to_numpy().astype(np.int64)[order] if got.num_rows else np.zeros(0, dtype=np.int64)
+    langs = [got["_lang"][int(i)].as_py() for i in order]
+    seqs = [tuple(np.asarray(got[c][int(i)].values) for c in ("whole", "head")) for i in order]  # views: the sample is held once
+    del got
     aside = np.arange(len(y)) % 4 == 3
     if not (y[~aside] == 1).any() or not (y[aside] == 1).any():
         aside[:] = False
@@ -220,7 +222,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if held:
         out = np.array([logits(model, a, b, np.array([0, len(a)]))[0] for a, b in held])
         stands = np.array([max(1.0, labelled.get(k, 0) / max(1, max_train // 2)) for k in (0, 1)])
-        calibrate(model, out, y[aside], [x for x, z in zip(got["_lang"].to_pylist(), aside, strict=True) if z], weights=stands[y[aside]])
+        calibrate(model, out, y[aside], [x for x, z in zip(langs, aside, strict=True) if z], weights=stands[y[aside]])
+    del seqs, held
+    pa.default_memory_pool().release_unused()  # the sample's memory goes back before the driver plans further stages
     return model
 
 

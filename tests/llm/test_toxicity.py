@@ -69,3 +69,16 @@ def test_training_reads_bounded_rows_and_words(spark, monkeypatch):
     long = spark.createDataFrame([(i, "a b c d e " * (500 if i == 3 else 1), "a") for i in range(8)], "doc_id long, text string, lang string")
     t.fit(long, spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, toxic int"), max_words=35)
     assert 0 < sum(len(x[0]) for d, _ in seen for x in d) <= 35
+
+
+def test_the_driver_holds_the_sample_once(spark, monkeypatch):
+    """What training reads are views of the rows that came to the driver, in order of ids, not copies beside them."""
+    from folioflux.llm import toxicity
+
+    docs = spark.createDataFrame([(i, f"{'bad' if i % 2 else 'good'} words of text {i}", "en") for i in range(40, 0, -1)], "doc_id long, text string, lang string")
+    seen, real = [], toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda docs, labels, **more: (seen.append((docs, labels)), real(docs, labels, **more))[1])
+    toxicity.fit(docs, docs.select("doc_id", (docs.doc_id % 2).cast("int").alias("toxic")))
+    (found, labels), *_ = seen
+    assert len(found) == 40 and labels.tolist() == [i % 2 for i in range(1, 41)]
+    assert not any(a.flags.owndata for pair in found for a in pair)
